@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, media, packing, pieces, url_filter
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_media_columns": media.op3_media_columns,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
+}
+#: Where SQL can express the result.
+ORACLES = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -85,3 +85,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def let(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once for each row.
+
+    A plain projection may be merged into the lambdas that use its column and then be computed again for
+    every element; a generator of one row stands between.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, packing, pieces, url_filter
+from . import exact_dedup, line_dedup, media, near_dup, packing, pieces, span_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_media_columns": media.op3_media_columns,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op9_near_dedup": near_dup.op9_near_dedup,
+    "op10_substring_dedup": span_dedup.op10_substring_dedup,
 }
 #: Where SQL can express the result.
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }

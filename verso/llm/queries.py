@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, media, near_dup, packing, pieces, span_dedup, url_filter
+from . import exact_dedup, line_dedup, lm_score, media, near_dup, packing, pieces, quality, span_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_substring_dedup": span_dedup.op10_substring_dedup,
 }

@@ -15,8 +15,10 @@ gives at least one piece. Ids may repeat or be null; pieces are rows, never join
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +48,10 @@ class WordEncoder:
 
     The splitter never joins a character that is not white space with white space after it, so that a text
     falls into words (white space, then other characters) whose ids do not depend on each other.
+
+    The vocabulary is read by ``tokenizers``. In a byte-level vocabulary ids are merge ranks, so that
+    ``tiktoken`` finds the same ids of a new word in a fraction of the time; words with a special token's
+    string, and vocabularies whose ids are no ranks, go to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,6 +60,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._ranks()
+
+    def _ranks(self):
+        """The vocabulary as byte ranks, if its model is a plain byte-level one."""
+        description = json.loads(self.tokenizer.to_str())
+        model = description["model"]
+        if description["normalizer"] or (description["pre_tokenizer"] or {}).get("type") != "ByteLevel" or model["type"] != "BPE":
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+        ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        ordered = [model["vocab"][m.replace(" ", "")] for m in merges]
+        if ordered != sorted(ordered) or description["pre_tokenizer"].get("add_prefix_space"):
+            return None
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        if self.fast is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [self.tokenizer.encode(w, add_special_tokens=False).ids if any(x in w for x in self.special) else self.fast(w) for w in words]
 
     def words(self, text: str) -> list[str]:
         if _IRREGULAR.search(text):
@@ -71,8 +102,8 @@ class WordEncoder:
                 if len(self.ids) + len(missing) > CACHE_WORDS:
                     self.ids.clear()
                     missing = list(set(words))
-                for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    self.ids[w] = np.array(e.ids, "<u4").tobytes()
+                for w, found in zip(missing, self._new(missing), strict=True):
+                    self.ids[w] = struct.pack(f"<{len(found)}I", *found)
                 found = [self.ids[w] for w in words]
             yield b"".join(found)
 

@@ -2,10 +2,464 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verso.functions import language, prompts, responses, text
+from verso.operators import batching, cache, history, layout, spans
+from verso.operators import html_segments as html
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# HTML segmentation, markers and export
+
+HTML = r"""
+WITH t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<')) AS tok,
+  generate_subscripts(regexp_extract_all(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<'), 1) - 1 AS pos FROM pages),
+a AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, starts_with(tok, '</') AS closes FROM t),
+b AS (SELECT *, sum(CASE WHEN name IN ('pre', 'code') THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS cd FROM a),
+c AS (SELECT *, CASE WHEN cd <= 0 AND name IN ('p','h1','h2','h3','h4','h5','h6','li','td','th','blockquote','figcaption','dt','dd','caption') THEN CASE WHEN closes THEN 0 ELSE 1 END END AS ev FROM b),
+d AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS pend,
+  sum(CASE WHEN ev = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g, sum(CASE WHEN ev = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS gt FROM c),
+s AS (SELECT doc_id, g, regexp_replace(string_agg(tok, '' ORDER BY pos), '^\s+|\s+$', '', 'g') AS text FROM d WHERE NOT starts_with(tok, '<') AND pend = 1 AND g < gt GROUP BY doc_id, g),
+segs AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS seg_idx, text FROM s WHERE text <> '')
+"""
+PIECE = """
+pieces AS (SELECT d.doc_id, pos, CASE WHEN seg_idx IS NOT NULL THEN {marker} || tok
+  WHEN pend = 1 AND d.g < gt AND (NOT starts_with(tok, '<') OR name IN ('a','abbr','b','br','cite','code','em','font','i','img','mark','q','s','small','span','strong','sub','sup','u')) THEN ''
+  ELSE tok END AS piece, seg_idx FROM d LEFT JOIN segs ON d.ev = 0 AND d.doc_id = segs.doc_id AND d.g = segs.g + 1)
+"""
+
+
+@query(HTML + "SELECT doc_id, seg_idx, text FROM segs")
+def html_segments(spark, sf_dir):
+    return html.segments(table(spark, sf_dir, "pages")).select("doc_id", "seg_idx", "text")
+
+
+@query(HTML + "SELECT doc_id, count(*) AS n_segments, sum(strlen(text))::BIGINT AS n_bytes FROM segs GROUP BY doc_id")
+def html_segment_counts(spark, sf_dir):
+    return html.segments(table(spark, sf_dir, "pages")).groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
+@query(
+    HTML
+    + ","
+    + PIECE.format(marker="chr(0) || 'EPUB_' || seg_idx || chr(0)")
+    + "SELECT doc_id, sha256(string_agg(piece, '' ORDER BY pos)) AS marked_sha256, count(seg_idx) AS segment_count, 0::BIGINT AS segment_start FROM pieces GROUP BY doc_id"
+)
+def html_markers(spark, sf_dir):
+    found = html.skeletons(table(spark, sf_dir, "pages"))
+    return found.select("doc_id", F.sha2("marked", 256).alias("marked_sha256"), "segment_count", "segment_start")
+
+
+@query(HTML + "," + PIECE.format(marker="'[TRANSLATED] ' || segs.text") + "SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS html FROM pieces GROUP BY doc_id")
+def marker_export(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    translated = html.segments(pages).select("doc_id", "seg_idx", F.concat(F.lit("[TRANSLATED] "), "text").alias("translation"))
+    return html.assemble(pages, translated)
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<code|<pre'))::BIGINT AS n_code, nullif(trim(regexp_extract(html, '(?s)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages")
+def code_tag_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.code_tag_count(F.col("html")).cast("bigint").alias("n_code"), F.nullif(F.trim(F.regexp_extract("html", r"(?s)<title[^>]*>([^<]*)</title>", 1)), F.lit("")).alias("title"))
+
+
+# Languages, hashes and the cache
+
+SAMPLES = ("漢字", "漢字かな", "한글漢", "[1]", "Привет", "123", "")
+
+
+def _values(values) -> str:
+    return ", ".join(f"({k}, '{v}')" for k, v in enumerate(values))
+
+
+DETECT = """
+SELECT id, CASE WHEN regexp_matches(s, '[\\x{3040}-\\x{30FF}]') THEN 'ja' WHEN regexp_matches(s, '[\\x{AC00}-\\x{D7AF}]') THEN 'ko'
+  WHEN regexp_matches(s, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]') THEN 'zh-Hans' WHEN regexp_matches(s, '[\\x{0041}-\\x{007A}\\x{00C0}-\\x{024F}]') THEN 'en' ELSE 'und' END AS tag,
+  (CASE WHEN regexp_matches(s, '[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]') THEN 0.9
+  WHEN regexp_matches(s, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]') THEN 0.8 WHEN regexp_matches(s, '[\\x{0041}-\\x{007A}\\x{00C0}-\\x{024F}]') THEN 0.5 ELSE 0.0 END)::DOUBLE AS confidence
+FROM (SELECT doc_id AS id, text AS s FROM documents UNION ALL SELECT -1 - k, v FROM (VALUES """ + _values(SAMPLES) + """) x(k, v))
+"""
+
+
+@query(DETECT)
+def language_detect(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s"))
+    samples = spark.createDataFrame([(-1 - k, v) for k, v in enumerate(SAMPLES)], "id bigint, s string")
+    both = docs.unionByName(samples)
+    return both.select("id", language.detect_tag(F.col("s")).alias("tag"), language.detect_confidence(F.col("s")).alias("confidence"))
+
+
+@query("SELECT doc_id, lang, CASE lower(lang) WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' END AS tag, CASE upper(lang || 'g') WHEN 'ENG' THEN 'en' END AS three FROM documents")
+def lang_code_parse(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", language.tag_of_code(F.upper("lang")).alias("tag"), language.tag_of_code(F.upper(F.concat("lang", F.lit("g")))).alias("three"))
+
+
+@query("SELECT doc_id, sha256(text) AS source_hash, strlen(text) AS n_bytes, length(text) AS n_points FROM documents")
+def source_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.source_hash(F.col("text")).alias("source_hash"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.length("text").cast("bigint").alias("n_points"))
+
+
+CACHE = "h AS (SELECT doc_id, sha256(text) AS source_hash, text FROM documents), c AS (SELECT source_hash, 'T:' || left(any_value(text), 20) AS translated_text, CASE WHEN min(doc_id) % 3 = 0 THEN 0 WHEN min(doc_id) % 3 = 1 THEN 1 ELSE 2 END AS status FROM h WHERE doc_id % 2 = 0 GROUP BY source_hash)"
+
+
+def _cache(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    hashed = docs.select("doc_id", text.source_hash(F.col("text")).alias("source_hash"), "text")
+    filled = hashed.filter("doc_id % 2 = 0").groupBy("source_hash").agg(F.concat(F.lit("T:"), F.left(F.any_value("text"), F.lit(20))).alias("translated_text"), (F.min("doc_id") % 3).cast("tinyint").alias("status"))
+    return hashed.select("doc_id", "source_hash"), filled
+
+
+@query("WITH " + CACHE + " SELECT doc_id, translated_text, translated_text IS NOT NULL AS hit, CASE WHEN translated_text IS NOT NULL THEN 0 END AS tokens_used FROM h LEFT JOIN (SELECT * FROM c WHERE status IN (1, 2)) USING (source_hash)")
+def cache_probe(spark, sf_dir):
+    requests, filled = _cache(table(spark, sf_dir, "documents"))
+    return cache.probe(requests, filled).select("doc_id", "translated_text", "hit", "tokens_used")
+
+
+@query("WITH " + CACHE + " SELECT DISTINCT source_hash FROM h WHERE source_hash NOT IN (SELECT source_hash FROM c WHERE status IN (1, 2))")
+def cache_misses(spark, sf_dir):
+    requests, filled = _cache(table(spark, sf_dir, "documents"))
+    return cache.misses(requests, filled).select("source_hash")
+
+
+@query("WITH h AS (SELECT sha256(text) AS k FROM documents) SELECT count(DISTINCT k) AS total_items, (1 - count(DISTINCT k) / count(*)::DOUBLE) AS hit_rate FROM h")
+def cache_stats(spark, sf_dir):
+    probes = cache.documents_as_requests(table(spark, sf_dir, "documents"))
+    return cache.stats(probes.select("source_hash").distinct(), probes)
+
+
+@query("WITH v AS (SELECT sha256(text) AS source_hash, doc_id AS updated_at, 'v' || doc_id AS translated_text FROM documents) SELECT source_hash, max(updated_at) AS updated_at, arg_max(translated_text, updated_at) AS translated_text FROM v GROUP BY source_hash")
+def cache_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(text.source_hash(F.col("text")).alias("source_hash"), F.col("doc_id").alias("updated_at"), F.concat(F.lit("v"), "doc_id").alias("translated_text"))
+    return cache.upsert(rows.filter("updated_at % 2 = 0"), rows.filter("updated_at % 2 = 1"))
+
+
+# Work selection, batches, prompts and responses
+
+LABELLED = "x AS (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS seg_idx, d.text, l.quality, CASE WHEN l.quality IS NOT NULL THEN upper(d.text) END AS translation, d.doc_id % 7 = 0 AS keep_original FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Documents as the segments of their source, translated where they have a label."""
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.select(
+        "doc_id",
+        "source",
+        (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("seg_idx"),
+        "text",
+        F.when(F.col("quality").isNotNull(), F.upper("text")).alias("translation"),
+        (F.col("doc_id") % 7 == 0).alias("keep_original"),
+    )
+
+
+@query("WITH " + LABELLED + " SELECT doc_id, source, seg_idx FROM x WHERE translation IS NULL AND NOT keep_original")
+def segment_filter(spark, sf_dir):
+    return batching.select_work(_labelled(spark, sf_dir)).select("doc_id", "source", "seg_idx")
+
+
+@query("WITH " + LABELLED + " SELECT source, count(*) AS n_segments, count(coalesce(translation, CASE WHEN keep_original THEN text END)) AS n_translated, min(seg_idx) FILTER (WHERE translation IS NULL AND NOT keep_original) AS first_missing, bool_and(translation IS NOT NULL OR keep_original) AS complete FROM x GROUP BY source")
+def doc_completeness(spark, sf_dir):
+    return batching.completeness(batching.keep_originals(_labelled(spark, sf_dir)), key="source")
+
+
+PLAN = """
+WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+cum AS (SELECT doc_id, i + 1 AS i, sum(strlen(t)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS c, t FROM s UNION ALL SELECT DISTINCT doc_id, 0, 0, NULL FROM s),
+n AS (SELECT doc_id, max(i) AS n FROM cum GROUP BY doc_id),
+r AS (SELECT doc_id, b * 100 AS lo, least(b * 100 + 100, n) AS hi FROM (SELECT *, unnest(range((n + 99) // 100)) AS b FROM n)
+  UNION ALL
+  SELECT doc_id, CASE WHEN half = 0 THEN lo ELSE lo + (hi - lo) // 2 END, CASE WHEN half = 0 THEN lo + (hi - lo) // 2 ELSE hi END
+  FROM (SELECT r.doc_id, r.lo, r.hi, unnest([0, 1]) AS half FROM r JOIN cum a ON a.doc_id = r.doc_id AND a.i = r.lo JOIN cum z ON z.doc_id = r.doc_id AND z.i = r.hi WHERE r.hi - r.lo > 1 AND z.c - a.c > 6000)),
+plan AS (SELECT r.doc_id, lo, hi, z.c - a.c AS n_bytes FROM r JOIN cum a ON a.doc_id = r.doc_id AND a.i = r.lo JOIN cum z ON z.doc_id = r.doc_id AND z.i = r.hi WHERE r.hi - r.lo = 1 OR z.c - a.c <= 6000)
+"""
+
+
+@query(PLAN + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS batch_idx, lo, hi, hi - lo AS n_segments, n_bytes FROM plan")
+def batch_plan(spark, sf_dir):
+    return batching.plan_batches(batching.lines_as_segments(table(spark, sf_dir, "documents")))
+
+
+@query("SELECT doc_id, ceil(len(string_split(text, chr(10))) / 100.0)::BIGINT AS n_batches, ((len(string_split(text, chr(10))) - 1) % 100 + 1)::BIGINT AS last_size FROM documents")
+def naive_batch_plan(spark, sf_dir):
+    number, last = batching.naive_batches(F.size("texts"))
+    return batching.lines_as_segments(table(spark, sf_dir, "documents")).select("doc_id", number.cast("bigint").alias("n_batches"), last.cast("bigint").alias("last_size"))
+
+
+PROMPT = """, f AS (SELECT p.doc_id, count(*) AS n, string_agg(chr(10) || '[SEG_' || (c.i - 1) || ']' || chr(10) || c.t || chr(10), '' ORDER BY c.i) AS body
+  FROM plan p JOIN cum c ON c.doc_id = p.doc_id AND c.i > p.lo AND c.i <= p.hi WHERE p.lo = 0 GROUP BY p.doc_id),
+prompts AS (SELECT doc_id, 'Translate the following ' || n || ' segments from en to zh-Hans.' || chr(10) || 'Each segment is wrapped in [SEG_N] markers.' || chr(10) || 'In your response, preserve the [SEG_N] markers exactly.' || chr(10)
+  || 'Place each translation immediately after its marker.' || chr(10) || 'DO NOT translate code, variable names, or technical identifiers.' || chr(10) || body AS prompt FROM f)
+"""
+
+
+def _first_batches(spark, sf_dir) -> DataFrame:
+    """``doc_id, segs``: the first batch of each document as indexed texts; planned in the row, joined by nothing."""
+    lines = batching.lines_as_segments(table(spark, sf_dir, "documents"))
+    plan = batching.plan_batches(lines).filter("lo = 0").select("doc_id", "hi")
+    return lines.join(plan, "doc_id").select("doc_id", F.transform(F.slice("texts", F.lit(1), F.col("hi")), lambda t, i: F.struct(i.alias("idx"), t.alias("text"))).alias("segs"))
+
+
+@query(PLAN + PROMPT + "SELECT doc_id, prompt FROM prompts")
+def batch_prompt(spark, sf_dir):
+    return _first_batches(spark, sf_dir).select("doc_id", prompts.batch_prompt(F.col("segs"), "en", "zh-Hans").alias("prompt"))
+
+
+@query(PLAN + PROMPT + "SELECT doc_id, 'CRITICAL: You must preserve ALL [SEG_N] markers exactly as shown in your response. Do not skip, merge, or modify any markers.' || chr(10) || chr(10) || prompt AS prompt FROM prompts")
+def retry_prompt(spark, sf_dir):
+    return _first_batches(spark, sf_dir).select("doc_id", prompts.retry_prompt(prompts.batch_prompt(F.col("segs"), "en", "zh-Hans")).alias("prompt"))
+
+
+@query(PLAN + "SELECT p.doc_id, (c.i - 1)::BIGINT AS idx, '[TRANSLATED] ' || regexp_replace(c.t, '^\\s+|\\s+$', '', 'g') AS translation FROM plan p JOIN cum c ON c.doc_id = p.doc_id AND c.i > p.lo AND c.i <= p.hi WHERE p.lo = 0 AND regexp_replace(c.t, '^\\s+|\\s+$', '', 'g') <> ''")
+def mock_roundtrip(spark, sf_dir):
+    """Prompts of the first batches, answered by a prefix and parsed again."""
+    answered = F.transform("segs", lambda s: F.concat(F.lit("[SEG_"), s["idx"].cast("string"), F.lit("]\n[TRANSLATED] "), s["text"], F.lit("\n\n")))
+    first = _first_batches(spark, sf_dir).select("doc_id", F.array_join(F.reverse(answered), "").alias("response"), F.size("segs").alias("n"), F.transform("segs", lambda s: s["idx"]).alias("asked"))
+    parsed = text.let(first, "p", responses.parse_batch(F.col("response"), F.col("n"), F.col("asked")))
+    rows = parsed.select("doc_id", F.explode("p.ok").alias("x"))
+    return rows.select("doc_id", F.col("x.idx").cast("bigint").alias("idx"), F.col("x.text").alias("translation")).filter("translation <> '[TRANSLATED]'")
+
+
+CASES = (
+    ("[SEG_0]\nni hao\n\n[SEG_1]\nshijie\n\n[SEG_2]\nceshi\n", 3),
+    ("[SEG_0]\nhello\n", 1),
+    ("[SEG_0]\nonly one\n", 3),
+    ("no markers here at all", 1),
+    ("[SEG_0]  \n  bonjour  \n\n[SEG_1]\t\nmonde  \n", 2),
+    ("[SEG_0]\nhello\n\n[SEG_1]\n\n[SEG_2]\nworld\n", 3),
+    ("[SEG_99999999999999999999999]\nx", 1),
+)
+
+
+@query(
+    "SELECT k, n, CASE WHEN k = 6 THEN 'Invalid segment index in response' WHEN f = 0 OR f <> n THEN 'Expected ' || n || ' translations in batch response, but found ' || f END AS error, CASE WHEN k <> 6 AND f > 0 AND f = n THEN f END AS n_ok FROM (SELECT k, n, len(regexp_extract_all(r, '\\[SEG_\\d+\\]'))::BIGINT AS f FROM (VALUES "
+    + ", ".join(f"({k}, '{r}', {n})" for k, (r, n) in enumerate(CASES))
+    + ") x(k, r, n))"
+)
+def response_parse_errors(spark, sf_dir):
+    rows = spark.createDataFrame([(k, r, n) for k, (r, n) in enumerate(CASES)], "k int, r string, n int")
+    parsed = text.let(rows, "p", responses.parse_batch(F.col("r"), F.col("n")))
+    return parsed.select("k", "n", F.col("p.error").alias("error"), F.when(F.col("p.error").isNull(), F.size("p.ok").cast("bigint")).alias("n_ok"))
+
+
+@query("SELECT item_id, form, CASE form WHEN 0 THEN 'T' || item_id WHEN 1 THEN 'T' || item_id WHEN 2 THEN 'T' || item_id WHEN 3 THEN text WHEN 4 THEN 'T' || text ELSE '' END AS cleaned FROM benchmark, range(6) r(form)")
+def echo_cleanup(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("form"))
+    t = F.concat(F.lit("T"), F.col("item_id").cast("string"))
+    made = F.when(F.col("form") == 0, F.concat("text", F.lit(" -> "), t)).when(F.col("form") == 1, F.concat("text", F.lit(" ->"), t)).when(F.col("form") == 2, F.concat("text", F.lit("  - > "), t, F.lit(" "))).when(F.col("form") == 3, F.col("text")).when(F.col("form") == 4, F.concat(F.lit("T"), "text")).otherwise("")
+    return items.withColumn("made", made).select("item_id", "form", text.clean_echo(F.col("made"), F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id, text AS cleaned FROM documents")
+def zero_width(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    joined = F.regexp_replace("text", " ", "{0} {1}{3}{2}".format(*map(chr, text.ZERO_WIDTH)))
+    return docs.select("doc_id", text.remove_zero_width(joined).alias("cleaned"))
+
+
+@query("SELECT doc_id, text || '[placeholder:ph_0]' || lang || '[placeholder:ph_1][placeholder:ph_2]' AS renamed, text || '[placeholder:a_' || doc_id || ']' || lang || '[placeholder:ph_0][placeholder:a_' || doc_id || ']' AS restored, 3::BIGINT AS n FROM documents")
+def placeholder_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    mark = F.concat(F.lit("[placeholder:a_"), F.col("doc_id").cast("string"), F.lit("]"))
+    made = text.let(docs.select("doc_id", F.concat("text", mark, "lang", F.lit("[placeholder:ph_0]"), mark).alias("t")), "p", text.preprocess(F.col("t")))
+    return made.select("doc_id", F.col("p.text").alias("renamed"), text.restore_placeholders(F.col("p.text"), F.col("p.names")).alias("restored"), F.size("p.names").cast("bigint").alias("n"))
+
+
+# Chat bodies, history, exports and statistics
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))
+
+
+SIZES = "SELECT conv_id, {n} AS n_messages, {roles} AS roles, {text} AS contents FROM conversations GROUP BY conv_id"
+BODY = "struct<model:string,system:string,messages:array<struct<role:string,content:string>>,max_tokens:int,temperature:double>"
+
+
+def _digest(df: DataFrame, body: Column) -> DataFrame:
+    """What a server would read from the JSON."""
+    read = text.let(df, "b", F.from_json(body, BODY))
+    return read.select("conv_id", F.size("b.messages").cast("bigint").alias("n_messages"), F.array_join(F.transform("b.messages", lambda m: m["role"]), ",").alias("roles"), F.array_join(F.transform("b.messages", lambda m: m["content"]), "|").alias("contents"))
+
+
+@query(SIZES.format(n="count(*) + 1", roles="'system,' || string_agg(role, ',' ORDER BY turn)", text="'Be brief.|' || string_agg(text, '|' ORDER BY turn)"))
+def chat_openai(spark, sf_dir):
+    return _digest(_turns(spark, sf_dir), prompts.openai_body("m", F.lit("Be brief."), F.col("messages")))
+
+
+@query(SIZES.format(n="count(*)", roles="string_agg(CASE WHEN role = 'assistant' THEN role ELSE 'user' END, ',' ORDER BY turn)", text="string_agg(text, '|' ORDER BY turn)"))
+def chat_anthropic(spark, sf_dir):
+    return _digest(_turns(spark, sf_dir), prompts.anthropic_body("m", F.lit(""), F.col("messages")))
+
+
+@query("SELECT conv_id, turn, '[Previous translation]:' || chr(10) || lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, 'Translate the following from en to de:' || chr(10) || chr(10) || text AS prompt FROM conversations")
+def context_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.select("conv_id", "turn", prompts.context_message(before).alias("context"), prompts.single_prompt(F.col("text"), "en", "de").alias("prompt"))
+
+
+@query("SELECT conv_id, CASE WHEN conv_id % 3 = 0 OR conv_id % 3 = 1 THEN 'S' ELSE 'S' || chr(10) || chr(10) || '[Terminology Glossary - follow these term mappings precisely]:' || chr(10) || min(text) END AS prompt FROM conversations GROUP BY conv_id")
+def system_prompt(spark, sf_dir):
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("text").alias("t"))
+    glossary = F.when(F.col("conv_id") % 3 == 0, F.lit(" \n")).when(F.col("conv_id") % 3 == 2, F.col("t"))
+    return grouped.select("conv_id", prompts.system_prompt(F.lit("S"), glossary).alias("prompt"))
+
+
+KEPT = "CASE WHEN n <= 1000 THEN n ELSE 901 + (n - 1001) % 100 END"
+
+
+@query(f"SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS r, count(*) OVER () AS n FROM events) WHERE r <= {KEPT}")
+def history_retained(spark, sf_dir):
+    kept = history.retained(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), "event_id")
+    return kept.select("event_id", history.clock(F.col("ts")).alias("clock"), "event_type")
+
+
+@query(f"SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= {KEPT}")
+def history_by_event(spark, sf_dir):
+    return history.retained(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type")
+
+
+@query("SELECT string_agg('[Original]' || chr(10) || text || chr(10) || '[Translated]' || chr(10) || 'T:' || text || chr(10) || '---', '' ORDER BY item_id) AS content FROM benchmark")
+def batch_export_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("original"), F.concat(F.lit("T:"), "text").alias("translated"))
+    return history.batch_export(rows, "item_id")
+
+
+@query("SELECT conv_id, sum(length(text)) FILTER (WHERE role <> 'assistant')::BIGINT AS prompt_tokens, sum(length(text)) FILTER (WHERE role = 'assistant')::BIGINT AS completion_tokens, sum(length(text))::BIGINT AS total_tokens FROM conversations GROUP BY conv_id")
+def token_usage(spark, sf_dir):
+    n, answer = F.length("text"), F.col("role") == "assistant"
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.when(~answer, n)).alias("prompt_tokens"), F.sum(F.when(answer, n)).alias("completion_tokens"), F.sum(n).alias("total_tokens"))
+
+
+@query("SELECT page_id, CASE WHEN n = '' THEN 'unknown.html' ELSE n END AS name, regexp_replace(CASE WHEN n = '' THEN 'unknown.html' ELSE n END, '\\.[^./]*$', '') || '_translated.html' AS target FROM (SELECT page_id, regexp_extract(url, '([^/\\\\]+)$', 1) AS n FROM pages)")
+def output_names(spark, sf_dir):
+    named = table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url"), "html").alias("name"))
+    return named.select("page_id", "name", text.output_name(F.col("name"), "html").alias("target"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN rtrim(url, '/') || '/v1/messages' ELSE 'https://api.anthropic.com/v1/messages' END AS address FROM pages")
+def endpoints(spark, sf_dir):
+    base = F.when(F.col("page_id") % 2 == 0, F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", prompts.endpoint(base, "/v1/messages", prompts.ANTHROPIC_URL).alias("address"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 1 THEN text ELSE 'T' || doc_id END AS final, doc_id % 4 IN (1, 2) AS translated FROM documents")
+def final_texts(spark, sf_dir):
+    translated = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 2, F.concat(F.lit("T"), "doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.final_text(translated, F.col("text")).alias("final"), text.is_translated(F.col("doc_id") % 4).alias("translated"))
+
+
+# Positioned text
+
+SPANS = """
+WITH li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+hh AS (SELECT *, ('0x' || substr(md5(text), 1, 4))::BIGINT AS h FROM li),
+sp AS (SELECT doc_id, i // 40 AS page, i % 40 AS span_idx, text, (72.0 + h % 3 * 18)::FLOAT AS x, (780.0 - (i % 40) * 14 - CASE WHEN i % 5 = 4 THEN 7 ELSE 0 END)::FLOAT AS y, (9.0 + h % 12)::FLOAT AS font_size, h % 7 = 0 AS is_monospace, h % 11 = 0 AS is_italic FROM hh),
+nb AS (SELECT * FROM sp WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+"""
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    return spans.synthetic_spans(table(spark, sf_dir, "documents"))
+
+
+@query(
+    SPANS
+    + """, gp AS (SELECT doc_id, lag(y) OVER w - y AS gap, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND regexp_replace(lag(text) OVER w, '^\\s+|\\s+$', '', 'g') <> '' AS both_ FROM sp WINDOW w AS (PARTITION BY doc_id, page ORDER BY span_idx)),
+bn AS (SELECT doc_id, round(gap * 10::FLOAT)::INT AS bin, count(*) AS n FROM gp WHERE both_ AND gap > 1 AND gap < 200 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, bin) AS r FROM bn),
+tp AS (SELECT doc_id, max(bin) FILTER (WHERE r = 1) / 10.0 AS a, max(bin) FILTER (WHERE r = 2) / 10.0 AS b FROM rk WHERE r <= 2 GROUP BY doc_id)
+SELECT doc_id, coalesce(greatest((a + coalesce(b, a * 1.8)) / 2, 18), 25)::DOUBLE AS threshold FROM (SELECT DISTINCT doc_id FROM sp) LEFT JOIN tp USING (doc_id)"""
+)
+def line_gap_threshold(spark, sf_dir):
+    return spans.paragraph_thresholds(_spans(spark, sf_dir))
+
+
+@query(SPANS + "SELECT doc_id, page, span_idx, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, span_idx) - 1)::INT AS ord FROM sp")
+def span_order(spark, sf_dir):
+    return spans.reading_order(_spans(spark, sf_dir)).select("doc_id", "page", "span_idx", "ord")
+
+
+@query(SPANS + "SELECT doc_id, page, span_idx, CASE WHEN is_monospace THEN NULL WHEN font_size > 18 THEN 1 WHEN font_size > 16 THEN 2 WHEN font_size > 14 THEN 3 END AS level, CASE WHEN is_monospace THEN 'code' WHEN font_size > 14 THEN 'heading' ELSE 'paragraph' END AS kind, (x - 72)::DOUBLE AS indent FROM sp")
+def heading_class(spark, sf_dir):
+    made = text.let(_spans(spark, sf_dir), "c", spans.classify(F.col("text"), F.col("font_size"), F.col("is_monospace"), F.col("x"), F.col("is_italic")))
+    return made.select("doc_id", "page", "span_idx", F.col("c.meta.level").cast("int").alias("level"), F.col("c.meta.kind").alias("kind"), F.col("c.meta.indent").cast("double").alias("indent"))
+
+
+@query(
+    SPANS
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, span_idx) AS ord FROM nb),
+ch AS (SELECT *, coalesce((is_monospace <> lag(is_monospace) OVER (PARTITION BY doc_id, page ORDER BY ord))::INT, 0) AS change FROM o),
+isl AS (SELECT *, sum(change) OVER (PARTITION BY doc_id, page ORDER BY ord) AS island FROM ch)
+SELECT doc_id, page, island, arg_min(y, ord)::DOUBLE AS start_y, string_agg(text, chr(10) ORDER BY ord) AS text, arg_max(font_size, ord)::DOUBLE AS font_size, count(*) AS n_lines FROM isl WHERE is_monospace GROUP BY doc_id, page, island"""
+)
+def code_islands(spark, sf_dir):
+    found = spans.code_blocks(_spans(spark, sf_dir))
+    return found.select("doc_id", "page", F.col("island").cast("bigint").alias("island"), F.col("start_y").cast("double").alias("start_y"), "text", F.col("font_size").cast("double").alias("font_size"), F.col("n_lines").cast("bigint").alias("n_lines"))
+
+
+@query(
+    SPANS
+    + """, fr AS (SELECT *, coalesce((abs(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY span_idx)) > 15)::INT, 0) AS f FROM sp),
+gr AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page ORDER BY span_idx) AS grp FROM fr)
+SELECT doc_id, page, grp, string_agg(text, '' ORDER BY span_idx) AS text FROM gr GROUP BY doc_id, page, grp"""
+)
+def simple_span_groups(spark, sf_dir):
+    return spans.simple_groups(_spans(spark, sf_dir), reach=15.0).select("doc_id", "page", F.col("grp").cast("bigint").alias("grp"), "text")
+
+
+@query()
+def span_groups(spark, sf_dir):
+    """Text groups of every page; a fold over each page's lines, held against brute force in the tests."""
+    return spans.group_spans(_spans(spark, sf_dir)).select("doc_id", "page", "island", "group", "text", "font_size", F.col("meta.kind").alias("kind"), F.col("meta.level").alias("level"))
+
+
+def _images(pages: DataFrame) -> DataFrame:
+    per_page = pages.select("doc_id", "page").distinct()
+    return per_page.select("doc_id", "page", F.lit(0).alias("img_idx"), F.lit(700.0).cast("float").alias("y"), F.lit(600.0).cast("float").alias("width"), F.lit(300.0).cast("float").alias("height"), F.lit(None).cast("binary").alias("data"))
+
+
+@query()
+def page_layout(spark, sf_dir):
+    """All pages' elements laid out as lines at their places."""
+    found = _spans(spark, sf_dir)
+    return layout.lay_out(spans.page_elements(found, _images(found)))
+
+
+@query("SELECT p_partkey, least(p_size * 20.0, 451.28)::DOUBLE AS width, (CASE WHEN p_size * 20.0 > 451.28 THEN 100.0 * (451.28 / (p_size * 20.0)) ELSE 100.0 END)::DOUBLE AS height FROM part")
+def image_scale(spark, sf_dir):
+    w, h = layout.scaled_image(F.col("p_size").cast("double") * 20.0, F.lit(100.0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(w, 9).alias("width"), F.round(h, 9).alias("height"))
+
+
+@query("SELECT p_partkey, least(greatest(p_size, 9), 10)::DOUBLE AS code_size, CASE p_size % 7 WHEN 1 THEN 20 WHEN 2 THEN 17 WHEN 3 THEN 14 WHEN 4 THEN 12 ELSE 11 END::DOUBLE AS size, CASE p_size % 7 WHEN 1 THEN 24 WHEN 2 THEN 20 WHEN 3 THEN 16 WHEN 4 THEN 12 ELSE 8 END::DOUBLE AS before, CASE p_size % 7 WHEN 1 THEN 12 WHEN 2 THEN 10 WHEN 3 THEN 8 ELSE 6 END::DOUBLE AS after FROM part")
+def heading_metrics(spark, sf_dir):
+    level = F.col("p_size") % 7
+    return table(spark, sf_dir, "part").select("p_partkey", layout.code_font(F.col("p_size").cast("double")).alias("code_size"), layout.heading_size(level).alias("size"), layout.heading_before(level).alias("before"), layout.heading_after(level).alias("after"))

@@ -17,7 +17,8 @@ def parse_batch(response: Column, expected: Column, requested: Column | None = N
     in order of appearance. ``requested`` (an array of indices) makes the set of indices binding too.
     """
     numbers = F.transform(F.regexp_extract_all(response, F.lit(MARKER), F.lit(1)), lambda n: n.try_cast("decimal(38,0)"))
-    texts = F.transform(F.slice(F.split(response, MARKER, -1), 2, 2147483647), trim)
+    parts = F.split(response, MARKER, -1)
+    texts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), trim)
     pairs = F.array_sort(F.transform(F.arrays_zip(numbers.alias("idx"), texts.alias("text")), lambda p, k: F.struct(p["idx"].alias("idx"), k.alias("k"), p["text"].alias("text"))))
     found = F.size(numbers)
     overflow = F.exists(numbers, lambda n: n.isNull() | (n > F.lit("18446744073709551615").cast("decimal(38,0)")))

@@ -36,7 +36,7 @@ def paragraph_thresholds(spans: DataFrame) -> DataFrame:
     line = F.col("a") / 10.0
     middle = (line + F.coalesce(F.col("b") / 10.0, line * PARAGRAPH_FACTOR)) / 2.0
     every = spans.select("doc_id").distinct()
-    return every.join(tops, "doc_id", "left").select("doc_id", F.coalesce(F.greatest(middle, F.lit(LEAST_THRESHOLD)), F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
+    return every.join(tops, "doc_id", "left").select("doc_id", F.when(F.col("a").isNull(), DEFAULT_THRESHOLD).otherwise(F.greatest(middle, F.lit(LEAST_THRESHOLD))).alias("threshold"))
 
 
 def reading_order(spans: DataFrame) -> DataFrame:

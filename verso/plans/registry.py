@@ -396,7 +396,7 @@ def _spans(spark, sf_dir) -> DataFrame:
 bn AS (SELECT doc_id, round(gap * 10::FLOAT)::INT AS bin, count(*) AS n FROM gp WHERE both_ AND gap > 1 AND gap < 200 GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, bin) AS r FROM bn),
 tp AS (SELECT doc_id, max(bin) FILTER (WHERE r = 1) / 10.0 AS a, max(bin) FILTER (WHERE r = 2) / 10.0 AS b FROM rk WHERE r <= 2 GROUP BY doc_id)
-SELECT doc_id, coalesce(greatest((a + coalesce(b, a * 1.8)) / 2, 18), 25)::DOUBLE AS threshold FROM (SELECT DISTINCT doc_id FROM sp) LEFT JOIN tp USING (doc_id)"""
+SELECT doc_id, (CASE WHEN a IS NULL THEN 25 ELSE greatest((a + coalesce(b, a * 1.8)) / 2, 18) END)::DOUBLE AS threshold FROM (SELECT DISTINCT doc_id FROM sp) LEFT JOIN tp USING (doc_id)"""
 )
 def line_gap_threshold(spark, sf_dir):
     return spans.paragraph_thresholds(_spans(spark, sf_dir))

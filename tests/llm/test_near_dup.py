@@ -109,3 +109,21 @@ def test_components_of_long_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 180)] + [(300, 299), (300, 300)]
     got = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{k: 0 for k in range(1, 61)}, **{k: 100 for k in range(101, 180)}, 300: 299}
+
+
+def test_large_group_of_mutual_copies(spark, monkeypatch):
+    """Copies whose pairs are partly links, with every way of ending the rounds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(120)] = word()
+        rows.append((k, " ".join(copy)))
+    expected = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for few in (0, 10**9):
+        monkeypatch.setattr(near_dup, "FEW_PAIRS", few)
+        assert {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()} == expected

@@ -15,8 +15,10 @@ Classes are the connected components of the links:
 1. Documents with equal words are one node; copies are never expanded into pairs.
 2. In every bucket of equal sketches each node is compared with the bucket's first node. A bucket of n
    nodes costs n - 1 comparisons, however many of its pairs are links.
-3. Buckets whose nodes are then still in different components are compared across components, so that a
-   link which does not pass through a first node is found as well. Pairs inside a component are not made.
+3. In buckets whose nodes are then still in different components, another node, chosen by hash for each
+   bucket, is compared with those of other components; this is repeated while it joins components. What is
+   then left is compared in full across components, so that a link which passes through no chosen node is
+   found as well. Pairs inside a component are never made.
 4. Components are labelled by rounds of large-star and small-star joins over tables in the shared folder.
 
 Texts with fewer than five words have one item, the text itself. Texts without words are one class. Nulls
@@ -34,6 +36,8 @@ from .common import cut, map_columns
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER = 20, 4
+#: Rounds of chosen nodes before all pairs across components are compared, and how few pairs end them early.
+ROUNDS, FEW_PAIRS = 8, 20_000
 #: Distinct words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 _rng = np.random.default_rng(20)
@@ -221,20 +225,31 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return map_columns(joined.select("u", "v", "a", "b"), "u bigint, v bigint", _verify)
 
     links = cut(verified(starred))
-    labels = components(links)
-    placed = cut(crowded.join(labels, crowded.rep == labels.node, "left").select("b", "rep", "n", "lead", F.coalesce("label", "rep").alias("label")))
-    mixed = placed.groupBy("b").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("b")
-    rest = placed.join(mixed, "b")
-    near = (F.col("x.n") * SIMILARITY <= F.col("y.n")) & (F.col("y.n") * SIMILARITY <= F.col("x.n"))
-    across = (
-        rest.alias("x")
-        .join(rest.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") < F.col("y.label")) & near & (F.col("x.rep") != F.col("y.lead")) & (F.col("y.rep") != F.col("x.lead")))
-        .select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-        .distinct()
-    )
-    more = cut(verified(across))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    labels = cut(components(links))
+    left = None
+    for turn in range(ROUNDS + 1):
+        placed = cut(crowded.join(labels, crowded.rep == labels.node, "left").select("b", "rep", "n", "lead", F.coalesce("label", "rep").alias("label")))
+        parts = placed.groupBy("b", "label").agg(F.count("*").alias("k"))
+        mixed = parts.groupBy("b").agg(F.count("*").alias("labels"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).filter("labels > 1")
+        rest = placed.join(mixed.select("b"), "b")
+        before, left = left, mixed.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
+        if not left:
+            break
+        last = turn == ROUNDS or left <= FEW_PAIRS or left <= placed.count() or (before is not None and left > 0.8 * before)
+        near = lambda x, y: (F.col(f"{x}.n") * SIMILARITY <= F.col(f"{y}.n")) & (F.col(f"{y}.n") * SIMILARITY <= F.col(f"{x}.n"))
+        if last:
+            untried = (F.col("x.rep") != F.col("y.lead")) & (F.col("y.rep") != F.col("x.lead"))
+            pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") < F.col("y.label")) & near("x", "y") & untried)
+        else:
+            by_chance = F.min(F.struct(F.xxhash64("rep", "b", F.lit(turn)).alias("h"), "rep", "n", "label"))
+            chosen = rest.groupBy("b").agg(by_chance.alias("y")).select("b", "y.rep", "y.n", "y.label")
+            pairs = rest.alias("x").join(chosen.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
+        more = cut(verified(pairs.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()))
+        if not more.isEmpty():
+            stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            labels = cut(components(stars.unionByName(more)))
+        if last:
+            break
     classes = nodes.join(labels, nodes.rep == labels.node, "left").select("words", "copies", F.coalesce("label", "rep").alias("class_id"))
     sizes = classes.groupBy(F.col("class_id").alias("c")).agg(F.sum("copies").alias("class_size"))
     named = classes.join(sizes, F.col("class_id").eqNullSafe(F.col("c"))).select("words", "class_id", "class_size")

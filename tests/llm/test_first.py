@@ -199,3 +199,11 @@ def test_decode_of_arbitrary_ids():
     for _ in range(500):
         ids = [rng.choice([1, 2, 3, 40, 200, 230, 240, 28705, 259, rng.randrange(3, 32000)]) for _ in range(8)]
         assert model.decode(ids) == whole.decode(ids), ids
+
+
+def test_url_plan_has_no_python_and_no_cross_join(spark):
+    import re
+
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id bigint, url string")
+    plan = url_filter.filter_urls(pages)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)

@@ -123,10 +123,11 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=
     ready = (F.sum("block").over(whole) > 0) & (F.sum("allow").over(whole) > 0)
     threshold = (
         histogram.select("at", gain.alias("gain"), ready.alias("ready"))
-        .groupBy(F.lit(0).alias("one"))
         .agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.abs("at")).alias("near"), F.col("at"))).getField("at").alias("cut"), F.first("ready").alias("ready"))
     )
-    judged = scores.select("s", step.alias("at"), F.lit(0).alias("one")).join(F.broadcast(threshold), "one").select("s", (F.col("ready") & (F.col("at") > F.col("cut"))).alias("bad"))
+    # One row: the threshold, null where there is nothing to compare with.
+    limit = threshold.select(F.when(F.col("ready"), F.col("cut")).alias("cut")).scalar()
+    judged = scores.select("s", F.coalesce(step > limit, F.lit(False)).alias("bad"))
     method = F.when(F.col("bad"), "block").otherwise("allow")
     return base.join(judged, "s", "left").select(key, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verso.functions import language, prompts, responses, text
-from verso.operators import batching, cache, history, layout, spans
+from verso.operators import batching, cache, history, layout, markdown, spans, translators
 from verso.operators import html_segments as html
+from verso.plans import flows
+from verso.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -376,6 +378,70 @@ def final_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.final_text(translated, F.col("text")).alias("final"), text.is_translated(F.col("doc_id") % 4).alias("translated"))
 
 
+@query("SELECT event_id, to_json({'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS json FROM events")
+def history_json_export(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return rows.select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("json"))
+
+
+STATUSES = (200, 204, 301, 401, 404, 429, 500)
+
+
+@query(
+    "SELECT s, CASE s WHEN 401 THEN 'AuthFailed' WHEN 429 THEN 'RateLimited' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'RequestFailed' END AS kind, CASE s WHEN 401 THEN 'Authentication failed: check API key' WHEN 429 THEN 'Rate limited: please retry later' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'API request failed: b' || s END AS message FROM (VALUES "
+    + ", ".join(f"({k})" for k in STATUSES)
+    + ") x(s)"
+)
+def http_status_errors(spark, sf_dir):
+    rows = text.let(spark.createDataFrame([(k,) for k in STATUSES], "s int"), "e", responses.status_error(F.col("s"), F.concat(F.lit("b"), F.col("s").cast("string"))))
+    return rows.select("s", "e.kind", "e.message")
+
+
+@query("SELECT conv_id, turn, text AS openai, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS anthropic FROM conversations")
+def response_texts(spark, sf_dir):
+    """Turns wrapped as the two services answer, and read back."""
+    turns = table(spark, sf_dir, "conversations")
+    choice = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    block = F.to_json(F.struct(F.array(F.struct(F.when(F.col("turn") % 2 == 0, "text").otherwise("thinking").alias("type"), F.col("text"))).alias("content")))
+    return turns.select("conv_id", "turn", responses.openai_text(choice).alias("openai"), responses.anthropic_text(block).alias("anthropic"))
+
+
+@query("SELECT c_custkey, 'Hello, ' || c_name || '!' AS greeting FROM customer")
+def greetings(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Hello, "), "c_name", F.lit("!")).alias("greeting"))
+
+
+LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
+
+
+@query("WITH " + LINES + " SELECT doc_id, i AS seg_idx, '[TRANSLATED] ' || regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS translation, NULL::VARCHAR AS error FROM ln WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> ''")
+def batch_translation(spark, sf_dir):
+    """Every non-blank line of every document through batches, prompts, a model and the parser."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seg_idx", "text")).filter(~text.is_blank(F.col("text")))
+    done = translators.run_batches(flows.work_batches(lines), translators.prefix_translator(), "en", "de")
+    return done.select("doc_id", "seg_idx", "translation", "error")
+
+
+@query(PLAN + "SELECT doc_id, row_number() OVER w - 1 AS batch_idx, sum(hi - lo) OVER w AS current, sum(hi - lo) OVER (PARTITION BY doc_id) AS total, count(*) OVER w AS attempts, count(*) OVER w AS successes, round(sum(hi - lo) OVER w / (sum(hi - lo) OVER (PARTITION BY doc_id))::DOUBLE * 100, 2) AS percent FROM plan WINDOW w AS (PARTITION BY doc_id ORDER BY lo)")
+def progress_table(spark, sf_dir):
+    plan = batching.plan_batches(batching.lines_as_segments(table(spark, sf_dir, "documents")))
+    return sinks.progress(plan.select("doc_id", "batch_idx", "n_segments", F.lit(1).alias("attempts"), F.lit(1).alias("successes")))
+
+
+@query()
+def markdown_segments(spark, sf_dir):
+    """Segments of every document read as Markdown; the scanner is held against its rules in the tests."""
+    found = markdown.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.posexplode("segments").alias("seg_idx", "text"))
+
+
+@query()
+def markdown_roundtrip(spark, sf_dir):
+    """Every document read as Markdown and written again with its own segments."""
+    found = markdown.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", markdown.render(F.col("marked"), F.col("segments"), F.col("segments"), F.col("code_spans")).alias("text"))
+
+
 # Positioned text
 
 SPANS = """

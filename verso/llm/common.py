@@ -26,27 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This ends the lineage (a lost executor re-reads files instead of repeating Python work) and makes
-    sure that an expensive stage runs once. The folder goes when the JVM ends.
+    sure that an expensive stage runs once. ``spent`` tables, which only ``df`` still needed, are deleted
+    then; the others go when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/verso-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`cut` as soon as no later stage needs them."""
-    spark = df.sparkSession
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for folder in folders:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    for other in spent:
+        if at := getattr(other, "_verso_path", None):
+            folder, files = _folder(spark, at)
+            files.delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._verso_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

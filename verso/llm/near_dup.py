@@ -194,10 +194,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
+        large = cut(large, current)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = cut(small)
+        current = cut(small, large)
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -214,7 +214,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     nodes = described.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     buckets = cut(nodes.filter("rep is not null").select("rep", "n", F.explode("sketches").alias("b")))
     first = buckets.groupBy("b").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    crowded = cut(buckets.join(first, "b").select("b", "rep", "n", "lead"))
+    crowded = cut(buckets.join(first, "b").select("b", "rep", "n", "lead"), buckets)
     starred = crowded.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     involved = crowded.select(F.col("rep").alias("id")).distinct()
     # Rows that repeat an id with other words are told apart by their words' hash only in the class table.
@@ -247,7 +247,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         more = cut(verified(pairs.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()))
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            labels = cut(components(stars.unionByName(more)))
+            labels = cut(components(stars.unionByName(more)), labels, more, placed)
         if last:
             break
     classes = nodes.join(labels, nodes.rep == labels.node, "left").select("words", "copies", F.coalesce("label", "rep").alias("class_id"))

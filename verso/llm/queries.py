@@ -25,6 +25,7 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op10_substring_dedup": span_dedup.ORACLE,
 }
 
 

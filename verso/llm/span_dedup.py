@@ -133,6 +133,27 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     return map_columns(joined.select(*[F.col(f"`{c}`") for c in docs_columns], gone), schema, work)
 
 
+#: The same by text instead of hashes: sentences, spans, first places and what they leave.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+s AS (SELECT r, part, row_number() OVER (PARTITION BY r ORDER BY i) AS i FROM (
+  SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT r, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*(?:[.!?]+\s*|\n\s*|\z)') AS parts FROM d)) WHERE part <> ''),
+wd AS (SELECT r, i, part, regexp_extract_all(part, '\S+\s*') AS ws FROM s),
+c AS (SELECT r, i, k, CASE WHEN len(ws) <= 16 THEN part ELSE (CASE WHEN k = 0 THEN regexp_extract(part, '^\s*') ELSE '' END) || array_to_string(ws[k * 16 + 1:k * 16 + 16], '') END AS p,
+  CASE WHEN len(ws) <= 16 THEN len(ws) ELSE least(16, len(ws) - k * 16) END AS n FROM (SELECT *, unnest(range(greatest(1, (len(ws) + 15) // 16))) AS k FROM wd)),
+q AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i, k) AS pos, p, n FROM c),
+w AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY pos) AS j, sum(n) OVER (PARTITION BY r ORDER BY pos) AS cum, array_to_string(regexp_extract_all(p, '\S+'), ' ') AS bare FROM q WHERE n > 0),
+m AS (SELECT a.r, a.j, min(b.j) AS reach FROM w a JOIN w b ON b.r = a.r AND b.cum >= a.cum - a.n + 24 GROUP BY a.r, a.j),
+e AS (SELECT m.r, m.j AS a, greatest(reach, m.j + 1) AS b FROM m),
+sp AS (SELECT e.r, e.a, min(w.pos) AS pa, max(w.pos) AS pb, string_agg(w.bare, ' ' ORDER BY w.j) AS t FROM e JOIN w ON w.r = e.r AND w.j BETWEEN e.a AND e.b JOIN w z ON z.r = e.r AND z.j = e.b GROUP BY e.r, e.a),
+f AS (SELECT t, min(doc_id) AS first FROM sp JOIN d USING (r) GROUP BY t),
+o AS (SELECT sp.*, doc_id, first, row_number() OVER (PARTITION BY r, t ORDER BY a) AS nth FROM sp JOIN d USING (r) JOIN f USING (t)),
+gone AS (SELECT DISTINCT q.r, q.pos FROM q JOIN o ON q.r = o.r AND q.pos BETWEEN pa AND pb WHERE nth > 1 OR (first IS NOT NULL AND doc_id IS DISTINCT FROM first)),
+kept AS (SELECT q.r, coalesce(string_agg(p, '' ORDER BY q.pos) FILTER (WHERE gone.r IS NULL), '') AS t, coalesce(sum(n) FILTER (WHERE gone.r IS NOT NULL), 0)::BIGINT AS removed_words FROM q LEFT JOIN gone ON q.r = gone.r AND q.pos = gone.pos GROUP BY q.r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(removed_words, 0) AS removed_words FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row with its remaining text and the number of words removed."""
     return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)

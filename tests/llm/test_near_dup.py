@@ -124,6 +124,7 @@ def test_large_group_of_mutual_copies(spark, monkeypatch):
         rows.append((k, " ".join(copy)))
     expected = brute_classes(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for few in (0, 10**9):
+    for few, block in ((0, 256), (10**9, 7)):
         monkeypatch.setattr(near_dup, "FEW_PAIRS", few)
+        monkeypatch.setattr(near_dup, "BLOCK_NODES", block)
         assert {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()} == expected

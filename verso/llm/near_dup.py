@@ -17,8 +17,8 @@ Classes are the connected components of the links:
    nodes costs n - 1 comparisons, however many of its pairs are links.
 3. In buckets whose nodes are then still in different components, another node, chosen by hash for each
    bucket, is compared with those of other components; this is repeated while it joins components. What is
-   then left is compared in full across components, so that a link which passes through no chosen node is
-   found as well. Pairs inside a component are never made.
+   then left is compared in full across components, block by block, so that a link which passes through no
+   chosen node is found as well. Pairs are compared inside a task and are never rows; only links leave it.
 4. Components are labelled by rounds of large-star and small-star joins over tables in the shared folder.
 
 Texts with fewer than five words have one item, the text itself. Texts without words are one class. Nulls
@@ -28,6 +28,7 @@ count as empty texts. Rows that repeat an id are one document.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER = 20, 4
 #: Rounds of chosen nodes before all pairs across components are compared, and how few pairs end them early.
 ROUNDS, FEW_PAIRS = 8, 20_000
+#: Nodes of a bucket in one block of the full comparison.
+BLOCK_NODES = 256
 #: Distinct words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 _rng = np.random.default_rng(20)
@@ -173,7 +176,36 @@ def _describe(batches):
 
 def _content(batches):
     for ids, texts in batches:
-        yield [ids, [shingles(_words(t)).tobytes() for t in texts]]
+        items = [shingles(_words(t)) for t in texts]
+        yield [ids, [x.tobytes() for x in items], [sketch(labelled(x)).tobytes() for x in items]]
+
+
+def _across(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of one bucket's nodes: those of one block, or of two blocks with each other.
+
+    A pair that shares an earlier bucket is compared there. A link joins its components at once.
+    """
+    found: list[tuple[int, int]] = []
+    sketches = np.stack([np.frombuffer(x, np.int64) for x in part["sketches"]])
+    turn = int((sketches[0] == part["b"].iloc[0]).argmax())
+    items = [np.frombuffer(x, np.uint64) for x in part["items"]]
+    rep, size, lead = part["rep"].to_numpy(), part["n"].to_numpy(), part["lead"].iloc[0]
+    label, block = part["label"].to_numpy().copy(), part["block"].to_numpy()
+    whole = part["i"].iloc[0] == part["j"].iloc[0]
+    for x in range(len(rep) - 1):
+        others = slice(x + 1, None)
+        ok = (label[others] != label[x]) & (np.minimum(size[others], size[x]) >= SIMILARITY * np.maximum(size[others], size[x]))
+        ok &= (rep[others] != lead) if rep[x] != lead else False
+        if not whole:
+            ok &= block[others] != block[x]
+        near = np.flatnonzero(ok) + x + 1
+        if turn and len(near):
+            near = near[~(sketches[near, :turn] == sketches[x, :turn]).any(axis=1)]
+        for y in near.tolist():
+            if label[y] != label[x] and linked(items[x], items[y]):
+                found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+                label[label == label[y]] = label[x]
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
 def _verify(batches):
@@ -218,7 +250,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     starred = crowded.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     involved = crowded.select(F.col("rep").alias("id")).distinct()
     # Rows that repeat an id with other words are told apart by their words' hash only in the class table.
-    content = cut(map_columns(source.join(involved, "id").dropDuplicates(["id"]), "id bigint, items binary", _content))
+    content = cut(map_columns(source.join(involved, "id").dropDuplicates(["id"]), "id bigint, items binary, sketches binary", _content))
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(content.select(F.col("id").alias("u"), F.col("items").alias("a")), "u").join(content.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
@@ -230,7 +262,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     for turn in range(ROUNDS + 1):
         placed = cut(crowded.join(labels, crowded.rep == labels.node, "left").select("b", "rep", "n", "lead", F.coalesce("label", "rep").alias("label")))
         parts = placed.groupBy("b", "label").agg(F.count("*").alias("k"))
-        mixed = parts.groupBy("b").agg(F.count("*").alias("labels"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).filter("labels > 1")
+        mixed = parts.groupBy("b").agg(F.count("*").alias("labels"), F.sum("k").alias("total"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).filter("labels > 1")
         rest = placed.join(mixed.select("b"), "b")
         before, left = left, mixed.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
         if not left:
@@ -238,13 +270,18 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         last = turn == ROUNDS or left <= FEW_PAIRS or left <= placed.count() or (before is not None and left > 0.8 * before)
         near = lambda x, y: (F.col(f"{x}.n") * SIMILARITY <= F.col(f"{y}.n")) & (F.col(f"{y}.n") * SIMILARITY <= F.col(f"{x}.n"))
         if last:
-            untried = (F.col("x.rep") != F.col("y.lead")) & (F.col("y.rep") != F.col("x.lead"))
-            pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") < F.col("y.label")) & near("x", "y") & untried)
+            # Blocks of a bucket meet in pairs, so that a task holds two blocks, and pairs are never rows.
+            blocks = F.ceil(F.col("total") / BLOCK_NODES)
+            dealt = rest.join(mixed.select("b", "total"), "b").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "b"), F.col("blocks")))
+            dealt = dealt.select("b", "rep", "n", "lead", "label", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+            dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+            filled = dealt.join(content.select(F.col("id").alias("rep"), "items", "sketches"), "rep")
+            more = cut(filled.groupBy("b", "i", "j").applyInPandas(_across, "u bigint, v bigint").distinct())
         else:
             by_chance = F.min(F.struct(F.xxhash64("rep", "b", F.lit(turn)).alias("h"), "rep", "n", "label"))
             chosen = rest.groupBy("b").agg(by_chance.alias("y")).select("b", "y.rep", "y.n", "y.label")
             pairs = rest.alias("x").join(chosen.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
-        more = cut(verified(pairs.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()))
+            more = cut(verified(pairs.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()))
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
             labels = cut(components(stars.unionByName(more)), labels, more, placed)

@@ -149,3 +149,23 @@ def test_windows_score_each_id_once():
         assert targets[owner == k][real[owner == k]].tolist() == [*t, 9]
         inputs = windows[owner == k][:, lm_score.BLOCK :].ravel()[: len(t) + 1]
         assert inputs.tolist() == [9, *t]
+
+
+def test_model_learns_from_all_training_rows(spark, monkeypatch):
+    """Rows outside the starting sample that differ in their order of words only, which no count of words sees."""
+    from pyspark.sql import functions as F
+
+    from verso.llm.common import fold
+
+    monkeypatch.setattr(lm_score, "TRAIN_DOCS", 1)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    start = "river stone green light house tree water"
+    sampled = spark.range(60).filter(fold("id", lm_score.HELD_OUT) != lm_score.HELD_REMAINDER).orderBy(F.xxhash64("id"), "id").first().id
+    scores = []
+    for words in (start.split() * 30, sorted(start.split() * 30)):
+        rows = [(k, start if k == sampled or zlib.crc32(str(k).encode()) % 7 == 2 else " ".join(words)) for k in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+        out = lm_score.score_texts(docs, path, pattern).filter("held_out").collect()
+        assert out and len({r.base_score for r in out}) == 1
+        scores.append((out[0].base_score, out[0].score))
+    assert scores[0][0] == scores[1][0] and abs(scores[0][1] - scores[1][1]) > 0.001

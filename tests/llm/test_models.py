@@ -169,3 +169,14 @@ def test_model_learns_from_all_training_rows(spark, monkeypatch):
         assert out and len({r.base_score for r in out}) == 1
         scores.append((out[0].base_score, out[0].score))
     assert scores[0][0] == scores[1][0] and abs(scores[0][1] - scores[1][1]) > 0.001
+
+
+def test_scores_do_not_depend_on_which_words_travel(spark, monkeypatch):
+    """Every training word has its share, whether its count is looked up or joined."""
+    docs = hard_docs(spark).select("doc_id", "text").coalesce(2)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    scores = []
+    for hot in (1 << 16, 3, 0):
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        scores.append(sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.score_texts(docs, path, pattern).collect()))
+    assert scores[0] == scores[1] == scores[2]

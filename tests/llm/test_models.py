@@ -180,3 +180,18 @@ def test_scores_do_not_depend_on_which_words_travel(spark, monkeypatch):
         monkeypatch.setattr(lm_score, "HOT", hot)
         scores.append(sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.score_texts(docs, path, pattern).collect()))
     assert scores[0] == scores[1] == scores[2]
+
+
+def test_training_lines_keep_their_true_neighbours(spark):
+    """A long text's lines, alternating between two kinds, are thinned to runs that still alternate."""
+    text = "\n".join("PLAIN" if k % 2 else "some words of a line" for k in range(301))
+    ((_, inputs, sizes, runs),) = [r for b in quality._sample([[[1], [text]]]) for r in zip(*b)]
+    inputs = np.array(inputs).reshape(len(sizes), -1)
+    features, size, counts = quality.line_features([text])
+    whole = quality.with_neighbours(features, counts)
+    assert sum(runs) == len(sizes) <= quality.TRAIN_LINES and all(n > 1 for n in runs)
+    assert all((np.abs(whole - row).max(axis=1) < 1e-6).any() for row in inputs)
+    own, after = inputs[:, 1 : 1 + quality.FEATURES], inputs[:, 1 + 2 * quality.FEATURES :]
+    ends = np.cumsum(runs) - 1
+    inside = np.setdiff1d(np.arange(len(sizes)), ends)
+    assert np.allclose(own[inside + 1], after[inside])

@@ -6,7 +6,8 @@ weighted by the lines' lengths, of the forward-backward marginals of "good", put
 probability by a logistic curve fitted on the training documents.
 
 Training uses at most ``TRAIN_DOCS`` labelled documents of each class, those whose ids have the smallest
-hashes, and of each at most ``TRAIN_LINES`` lines, evenly spread; a line takes its document's label. Rows
+hashes, and of each at most ``TRAIN_LINES`` lines, in evenly spread runs of ``TRAIN_RUN`` neighbouring lines; a line keeps the features
+of its true neighbours, labels are coupled within a run only, and a line takes its document's label. Rows
 whose crc32(id) modulo ``HELD_OUT`` is 0 are never used. Scoring reads every line of every text, in one pass
 without a shuffle; the model, some forty numbers, travels with the task.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold, map_columns, table
 
 HELD_OUT, THRESHOLD = 5, 0.3
-TRAIN_DOCS, TRAIN_LINES = 2000, 64
+TRAIN_DOCS, TRAIN_LINES, TRAIN_RUN = 2000, 64, 16
 FEATURES = 8
 BYTES_AT_ONCE = 1 << 20
 
@@ -139,7 +140,11 @@ class LineModel:
 
     def means(self, features: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of each document."""
-        good, _, _ = forward_backward(with_neighbours(features, counts) @ self.weights, counts, self.coupling)
+        return self.weighted(with_neighbours(features, counts), size, counts, counts)
+
+    def weighted(self, inputs: np.ndarray, size: np.ndarray, counts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """The same from lines with their neighbours' features; ``runs``: lengths of the runs of neighbouring lines."""
+        good, _, _ = forward_backward(inputs @ self.weights, runs, self.coupling)
         starts = np.cumsum(counts) - counts
         return np.add.reduceat(good * size, starts) / np.add.reduceat(size.astype(np.float64), starts)
 
@@ -150,35 +155,39 @@ class LineModel:
         mean = np.clip(self.means(*line_features(texts)), 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-np.clip(a + b * np.log(mean / (1 - mean)), -30, 30)))
 
-    def fit(self, features: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.ndarray, positive: float, steps: int = 200) -> None:
-        """Gradient ascent on the lines' conditional likelihood, classes weighted equally, then the curve."""
-        inputs = with_neighbours(features, counts).astype(np.float64)
+    def fit(self, inputs: np.ndarray, size: np.ndarray, counts: np.ndarray, runs: np.ndarray, of: np.ndarray, labels: np.ndarray, positive: float, steps: int = 200) -> None:
+        """Gradient ascent on the lines' conditional likelihood, classes weighted equally, then the curve.
+
+        ``inputs``: lines with their neighbours' features; ``counts``: each document's lines; ``runs`` and ``of``:
+        lengths of the runs of neighbouring lines and their documents.
+        """
+        inputs, run_labels = inputs.astype(np.float64), labels[of]
         line_label = np.repeat(labels, counts).astype(np.float64)
         per_doc = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
         # Documents of a class weigh the same in total; inside a document lines count equally.
         line_weight = np.repeat(per_doc / counts, counts)
         observed = np.zeros((2, 2))
-        steps_of = {c: counts[labels == c].sum() - (labels == c).sum() for c in (0, 1)}
+        steps_of = {c: runs[run_labels == c].sum() - (run_labels == c).sum() for c in (0, 1)}
         for c in (0, 1):
             observed[c, c] = 0.5 * (steps_of[c] > 0)
         w = np.concatenate([self.weights, self.coupling.ravel()])
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, steps + 1):
             coupling = w[-4:].reshape(2, 2)
-            good, _, _ = forward_backward(inputs @ w[:-4], counts, coupling)
+            good, _, _ = forward_backward(inputs @ w[:-4], runs, coupling)
             gradient = inputs.T @ (line_weight * (line_label - good)) - 0.0005 * w[:-4]
             expected = np.zeros((2, 2))
             for c in (0, 1):
                 if steps_of[c] > 0:
                     chosen = np.repeat(labels == c, counts)
-                    _, pairs, _ = forward_backward((inputs @ w[:-4])[chosen], counts[labels == c], coupling)
+                    _, pairs, _ = forward_backward((inputs @ w[:-4])[chosen], runs[run_labels == c], coupling)
                     expected += 0.5 * pairs / steps_of[c]
             pull = 0.2 * (observed - expected) - 0.02 * coupling
             g = np.concatenate([gradient, pull.ravel()])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.coupling = w[:-4], w[-4:].reshape(2, 2)
-        mean = np.clip(self.means(features, size, counts), 1e-6, 1 - 1e-6)
+        mean = np.clip(self.weighted(inputs, size, counts, runs), 1e-6, 1 - 1e-6)
         x = np.log(mean / (1 - mean))
         share = np.where(labels == 1, positive / max(1, labels.sum()), (1 - positive) / max(1, (1 - labels).sum()))
         a, b = 0.0, 1.0
@@ -191,15 +200,24 @@ class LineModel:
         self.curve = (float(a), float(b))
 
 
+def training_lines(text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Lines with their neighbours' features, their weights, and the lengths of the runs of neighbouring lines."""
+    features, size, counts = line_features([text])
+    inputs, n = with_neighbours(features, counts), len(size)
+    if n <= TRAIN_LINES:
+        return inputs, size, [n]
+    # Blocks of a run's length, the last one moved back to end with the text; the gaps between them may be 0.
+    starts = np.linspace(0, n - TRAIN_RUN, TRAIN_LINES // TRAIN_RUN).astype(np.int64)
+    at = (starts[:, None] + np.arange(TRAIN_RUN)).ravel()
+    return inputs[at], size[at], [TRAIN_RUN] * len(starts)
+
+
 def _sample(batches):
     for labels, texts in batches:
         out: list[list] = [[], [], [], []]
         for label, text in zip(labels, texts, strict=True):
-            features, size, _ = line_features([text or ""])
-            if len(size) > TRAIN_LINES:
-                at = np.linspace(0, len(size) - 1, TRAIN_LINES).astype(np.int64)
-                features, size = features[at], size[at]
-            for column, value in zip(out, (label, features.ravel().astype(float), size.astype(float), len(size)), strict=True):
+            inputs, size, runs = training_lines(text or "")
+            for column, value in zip(out, (label, inputs.ravel().astype(float), size.astype(float), runs), strict=True):
                 column.append(value)
         yield out
 
@@ -218,15 +236,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # At most twice TRAIN_DOCS rows are broadcast, and that many arrays come to the driver.
     sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text", F.xxhash64("text").alias("h"), "id")
     sample = sample.dropDuplicates(["id"]) if len(shares) == 2 else sample.limit(0)
-    rows = map_columns(sample.select("label", "text"), "label int, features array<double>, size array<double>, n int", _sample).collect()
-    rows.sort(key=lambda r: (r.label, r.n, r.features[:FEATURES]))
+    rows = map_columns(sample.select("label", "text"), "label int, inputs array<double>, size array<double>, runs array<int>", _sample).collect()
+    rows.sort(key=lambda r: (r.label, len(r.size), r.inputs[: 1 + FEATURES]))
     found = {r.label for r in rows}
     if len(found) < 2:
         model.constant = shares.get(1, 0) / total if total else 0.5
         return model
-    features = np.array([x for r in rows for x in r.features], np.float32).reshape(-1, FEATURES)
+    inputs = np.array([x for r in rows for x in r.inputs], np.float32).reshape(-1, 1 + 3 * FEATURES)
     size = np.array([x for r in rows for x in r.size], np.float32)
-    model.fit(features, size, np.array([r.n for r in rows]), np.array([r.label for r in rows]), shares[1] / total)
+    runs, of = np.array([n for r in rows for n in r.runs]), np.repeat(np.arange(len(rows)), [len(r.runs) for r in rows])
+    model.fit(inputs, size, np.array([len(r.size) for r in rows]), runs, of, np.array([r.label for r in rows]), shares[1] / total)
     return model
 
 

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from verso.operators import html_segments, translators
+from verso.operators import history, html_segments, translators
 from verso.plans import flows
 from verso.sources import config, files, sinks
 from verso.streaming import incremental
@@ -141,6 +141,89 @@ def test_epub_flow_resumes(spark, tmp_path):
     assert files.epub_sections(files.read_binary(spark, str(tmp_path / "in"), "bad.epub")).first().error
 
 
+def test_equal_names_and_damaged_books(spark, tmp_path):
+    for folder in ("x", "y/z"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "b.epub").write_bytes(book())
+    (tmp_path / "in" / "bad.epub").write_bytes(b"no zip")
+    results = str(tmp_path / "results")
+    flows.translate_epubs(spark, str(tmp_path / "in"), str(tmp_path / "out"), results, translators.prefix_translator(), pause=0)
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.epub")) == ["x/b_translated.epub", "y/z/b_translated.epub"]
+    damaged = spark.read.parquet(flows.damaged_path(results)).collect()
+    assert len(damaged) == 1 and damaged[0].path.endswith("bad.epub") and damaged[0].error
+    with pytest.raises(ValueError, match="bad.epub"):
+        flows.translate_epubs(spark, str(tmp_path / "in"), str(tmp_path / "out"), results, translators.prefix_translator(), strict=True)
+    with pytest.raises(ValueError, match="path of its own"):
+        sinks.write_files(spark.createDataFrame([("a", "1"), ("a", "2")], "n string, c string"), str(tmp_path / "o"), F.col("n"), F.col("c"))
+    with pytest.raises(ValueError, match="path of its own"):
+        sinks.write_files(spark.createDataFrame([("../a", "1")], "n string, c string"), str(tmp_path / "o"), F.col("n"), F.col("c"))
+    sinks.write_file_results(spark.createDataFrame([("n.txt", "1"), ("", "2")], "name string, content string"), str(tmp_path / "o"), 7)
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["translated_7.txt", "translated_n.txt"]
+
+
+def test_cache_answers_and_results_come_in_parts(spark, tmp_path):
+    segments = spark.createDataFrame([(d, k, f"text {(d * 7 + k) % 40}") for d in range(10) for k in range(12)], "doc_id bigint, seg_idx int, text string")
+    cache, first, second = (str(tmp_path / x) for x in ("cache", "first", "second"))
+    waits = []
+    done = flows.translate(segments, translators.prefix_translator(), "en", "de", first, cache=cache, model="m", pause=0, at_once=2)
+    assert done.count() == 120 and all(r.translation.startswith("[TRANSLATED] text") for r in done.collect())
+    assert spark.read.parquet(cache).count() == 40
+    # Another flow over the same texts sends nothing; another model's does.
+    again = flows.translate(segments, Faulty(bad=["SEG"]), "en", "de", second, cache=cache, model="m", pause=0, retries=1)
+    assert again.filter("translation is not null").count() == 120
+    other = flows.translate(segments.limit(3), Faulty(bad=["SEG"]), "en", "de", str(tmp_path / "third"), cache=cache, model="other", pause=0, retries=1)
+    assert other.filter("translation is null").count() == 3
+    assert [(r.doc_id, r.n_failed, [e.error for e in r.errors]) for r in flows.failures(other).collect()] == [(0, 3, ["bad segment"] * 3)]
+    translators.translate_batch(translators.prefix_translator(), SEGMENTS, "en", "de", sleep=waits.append, pause=0.1)
+    assert waits == [0.1]
+
+
+def test_a_stopped_run_keeps_what_it_had(spark, tmp_path):
+    """Results are appended part by part: what was appended before a failure is not sent again."""
+    segments = spark.createDataFrame([(d, 0, f"text {d}") for d in range(12)], "doc_id bigint, seg_idx int, text string")
+    results, calls = str(tmp_path / "r"), []
+    real = translators.run_batches
+
+    def stops(batches, *a, **k):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("driver lost")
+        return real(batches, *a, **k)
+
+    translators.run_batches = stops
+    try:
+        with pytest.raises(RuntimeError):
+            flows.translate(segments, translators.prefix_translator(), "en", "de", results, pause=0, at_once=3)
+    finally:
+        translators.run_batches = real
+    kept = flows.read_results(spark, results).count()
+    assert 0 < kept < 12
+    done = flows.translate(segments, translators.prefix_translator(), "en", "de", results, pause=0)
+    assert done.count() == 12 and spark.read.parquet(results + "_plan").count() == 12 - kept
+
+
+def test_positioned_flow(spark, tmp_path):
+    rows = [(1, 0, k, t, 72.0 + 18 * (k == 2), 780.0 - 40 * k, 17.0 if k == 3 else 11.0, k == 1, False) for k, t in enumerate(["Head.", "code()", "Body text.", "evil."])]
+    positioned = spark.createDataFrame(rows, "doc_id bigint, page int, span_idx int, text string, x float, y float, font_size float, is_monospace boolean, is_italic boolean")
+    images = spark.createDataFrame([(1, 0, 0, 500.0, 100.0, 50.0, None)], "doc_id bigint, page int, img_idx int, y float, width float, height float, data binary")
+    out, results = str(tmp_path / "laid"), str(tmp_path / "r")
+    done = flows.translate_positioned(positioned, images, out, results, Faulty(bad=["evil"]), pause=0, retries=1)
+    assert {r.error for r in done.collect()} == {None, "bad segment"}
+    lines = spark.read.parquet(out).orderBy("page_no", "line_no").collect()
+    assert [(r.font, r.text) for r in lines] == [("body", "[TRANSLATED] Head."), ("bar", ""), ("mono", "code()"), ("body", "[TRANSLATED] Body text."), ("bold", "evil."), ("image", "")]
+    assert [r.x for r in lines if r.text.endswith("Body text.")] == [90.0] and [r.x for r in lines if r.text == "code()"] == [102.0]
+
+
+def test_history_files_and_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"o{k}", f"t{k}") for k in range(20)], "seq bigint, original string, translated string").repartition(4)
+    history.write_export(rows, "seq", str(tmp_path / "e"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*")))
+    assert text == "".join(f"[Original]\no{k}\n[Translated]\nt{k}\n---" for k in range(20))
+    path = history.write_history(rows, str(tmp_path), 5)
+    assert path.endswith("history_5.json") and spark.read.json(path).count() == 20
+    assert [r.seq for r in history.previews(rows, "seq", 3).collect()] == [0, 1, 2]
+
+
 def test_failures_are_resumed_and_gaps_named(spark, tmp_path):
     segments = spark.createDataFrame([(1, 0, "good"), (1, 1, "evil"), (2, 0, "good")], "doc_id bigint, seg_idx int, text string")
     results = str(tmp_path / "r")

@@ -42,6 +42,19 @@ def test_sections_continue_numbers_and_substitution_is_literal(spark):
     assert out == "<p>$1 \\1 \x00EPUB_1\x00</p><p></p>"
 
 
+def test_a_missing_translation_moves_no_other(spark):
+    df = pages(spark, "<p>a</p><p> </p><p>b</p><li>c</li>")
+    rows = spark.createDataFrame([(1, 0, "A"), (1, 2, "C"), (1, 2, "D")], "doc_id bigint, seg_idx int, translation string")
+    assert html_segments.assemble(df, rows).first().html == "<p>A</p><p> </p><p></p><li>C</li>".replace("<p> </p>", "<p></p>")
+    assert html_segments.assemble(df, rows.limit(0)).first().html == "<p></p><p></p><p></p><li></li>"
+
+
+def test_batches_carry_their_own_part(spark):
+    df = spark.createDataFrame([(1, ["x" * 4000, "y" * 4000, "z"]), (1, ["w"]), (2, [])], "doc_id bigint, texts array<string>")
+    got = batching.plan_batches(df.withColumn("n", F.transform("texts", lambda t, i: i)), carry="n").select("doc_id", "batch_idx", "n").collect()
+    assert sorted((r.doc_id, r.batch_idx, r.n) for r in got) == [(1, 0, [0]), (1, 0, [0]), (1, 1, [1, 2])]
+
+
 def brute_plan(sizes):
     out, queue = [], []
     for lo in range(0, len(sizes), 100):
@@ -132,7 +145,7 @@ def test_captions_follow_their_image(spark):
 
 
 def test_wrap_and_layout(spark):
-    assert layout.wrap("abc\n\n  \nd", 11, 451) == ["abc", "d"] and layout.wrap("é" * 3, 300, 100) == ["é", "é", "é"]
+    assert layout.wrap("abc d", 11, 451) == ["abc d"] and layout.wrap("é" * 3, 300, 100) == ["é", "é", "é"] and layout.wrap("", 11, 451) == []
     text = "word " * 200
     lines = layout.wrap(text, 11, 451.28)
     assert "".join(lines).replace(" ", "") == text.replace(" ", "") and all(lines)
@@ -145,6 +158,107 @@ def test_wrap_and_layout(spark):
     assert max(r.page_no for r in out) > 1 and min(r.y for r in out) >= layout.MARGIN
 
 
+def brute_layout(elements):
+    """Lines and where they stand, element by element, written down from the page rules."""
+    page, y, out = 1, 841.89 - 72, []
+    for kind, text, level, indent, italic, size, width, height in elements:
+        def put(x, at, what):
+            out.append((page, round(x, 3), round(at, 3), what))
+
+        def turn(need):
+            nonlocal page, y
+            if y - need < 102:
+                page, y = page + 1, 841.89 - 72
+
+        if kind == "image":
+            f = min(1, 451.28 / width)
+            turn(height * f)
+            put(72, y - height * f, "")
+            y -= height * f + 6
+        elif kind == "code":
+            lines = [x for x in text.split("\n") if x]
+            y -= 4
+            turn(len(lines) * 15.4 + 2)
+            put(90, y - (len(lines) * 15.4 + 2) + min(max(size, 9), 10), "")
+            for x in lines:
+                turn(15.4)
+                put(102, y, x)
+                y -= 15.4
+            y -= 6
+        else:
+            s = {1: 20, 2: 17, 3: 14, 4: 12}.get(level, 11) if level else 9 if italic else 11
+            y -= {1: 24, 2: 20, 3: 16, 4: 12}.get(level, 8) if level else 0
+            area, rest = 451.28 - max(indent, 0), text.strip()
+            if not rest:
+                turn(7.7)
+                y -= 7.7
+            while rest:
+                n = len(rest)
+                if n > max(0, int(area / s) - 2):
+                    n = 1
+                    widths = [s * (0.95 if ord(c) > 127 else 0.3 if c in " \t\n\r" else 0.55) for c in rest]
+                    while n < len(rest) and sum(widths[: n + 1]) <= area:
+                        n += 1
+                if rest[:n].rstrip():
+                    turn(15.4)
+                    put(72 + max(indent, 0), y, rest[:n].rstrip())
+                    y -= 15.4
+                rest = rest[n:]
+            y -= {1: 12, 2: 10, 3: 8}.get(level, 6) if level else 6
+    return out
+
+
+def test_layout_equals_brute_force(spark):
+    rng = random.Random(12)
+    docs, rows = {}, []
+    for doc in range(6):
+        elements = []
+        for place in range(60):
+            kind = rng.choice(["text", "text", "text", "code", "image"])
+            text = rng.choice(["", " ", "x", "word " * rng.randrange(1, 120), "字" * rng.randrange(1, 90), "a b\n\n  c\n" * rng.randrange(1, 30)])
+            level, indent = rng.choice([None, None, 1, 2, 3, 4, 5]), rng.choice([0.0, 18.0, 36.0, -5.0])
+            e = (kind, text, level if kind == "text" else None, indent, rng.random() < 0.3, rng.choice([7.0, 9.5, 14.0]), rng.choice([100.0, 451.28, 900.0]), rng.choice([50.0, 400.0]))
+            elements.append(e)
+            meta = None if kind != "text" else ("x", e[2], False, e[5], False, indent, e[4])
+            rows.append((doc, place // 7, place % 7, kind, text, e[5], meta, e[6] if kind == "image" else None, e[7] if kind == "image" else None))
+        docs[doc] = elements
+    schema = "doc_id bigint, page int, place int, kind string, text string, font_size float, meta struct<kind:string,level:tinyint,keep_original:boolean,font_size:float,is_monospace:boolean,indent:float,is_italic:boolean>, width double, height double"
+    out = layout.lay_out(spark.createDataFrame(rows, schema)).collect()
+    for doc, elements in docs.items():
+        mine = sorted((r for r in out if r.doc_id == doc), key=lambda r: (r.page_no, r.line_no))
+        assert [(r.page_no, round(r.x, 3), round(r.y, 3), r.text) for r in mine] == brute_layout(elements)
+
+
+def brute_groups(rows, limit):
+    """Texts of a page's groups, where all spans are one island."""
+    out, parts, font, last = [], [], 0.0, None
+    for text, y, size in rows:
+        so_far = "".join(parts).strip()
+        if last is not None and ((y > last and (y - last > 1000 or so_far[-1:] in (".", "!", "?"))) or (y <= last and (last - y > limit or (abs(size - font) > 4 and so_far)))):
+            out.append(so_far)
+            parts, font = [], 0.0
+        parts += [" ", text] if parts else [text]
+        font, last = max(font, size), y
+    return [t for t in [*out, "".join(parts).strip()] if t]
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(13)
+    data, rows = {}, []
+    for page in range(30):
+        y, lines = 780.0, []
+        for k in range(rng.randrange(1, 30)):
+            y -= rng.choice([0.0, 12.0, 14.0, 14.0, 30.0])
+            lines.append((rng.choice(["one", "two.", " ", "three!"]), y, rng.choice([9.0, 11.0, 11.0, 16.0])))
+            rows.append(span(k, lines[-1][0], lines[-1][1], lines[-1][2], page=page))
+        data[page] = [x for x in lines if x[0].strip()]
+    limit = spark.createDataFrame([(1, 20.0)], "doc_id bigint, threshold double")
+    got = {}
+    for r in spans.group_spans(spark.createDataFrame(rows, SPANS), limit).orderBy("page", "island", "group").collect():
+        got.setdefault(r.page, []).append(r.text)
+    assert got == {p: g for p, lines in data.items() if (g := brute_groups(lines, 20.0))}
+
+
 MARKDOWN = """---
 title: x
 ---

@@ -24,14 +24,15 @@ def _range(lo: Column, hi: Column) -> Column:
     return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
-def plan_batches(docs: DataFrame, texts: str = "texts", max_segments: int = MAX_SEGMENTS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def plan_batches(docs: DataFrame, texts: str = "texts", max_segments: int = MAX_SEGMENTS, max_bytes: int = MAX_BYTES, carry: str | None = None) -> DataFrame:
     """A row for each batch: ``doc_id, batch_idx, lo, hi, n_segments, n_bytes``, in order.
 
     Blocks of ``max_segments`` are halved while they have more than ``max_bytes`` bytes and more than one
-    segment; a single segment may exceed the bytes.
+    segment; a single segment may exceed the bytes. ``carry``: an array as long as ``texts``, of which each batch
+    gets its own part as the column of that name.
     """
-    df = let(docs.select("doc_id", F.col(texts)), "sizes", F.transform(texts, lambda t: F.octet_length(t).cast("long")))
-    df = df.drop(texts) if texts != "sizes" else df
+    df = let(docs.select("doc_id", *dict.fromkeys([texts, *[carry] * bool(carry)])), "sizes", F.transform(texts, lambda t: F.octet_length(t).cast("long")))
+    df = df.drop(texts) if texts not in ("sizes", carry) else df
     n = F.size("sizes")
     blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / max_segments).cast("int")), lambda b: _range(b * max_segments, F.least(b * max_segments + max_segments, n))))
     df = let(df, "ranges0", F.coalesce(blocks, F.array().cast(_RANGE)))
@@ -43,9 +44,11 @@ def plan_batches(docs: DataFrame, texts: str = "texts", max_segments: int = MAX_
             F.array(_range(r["lo"], r["lo"] + F.floor((r["hi"] - r["lo"]) / 2)), _range(r["lo"] + F.floor((r["hi"] - r["lo"]) / 2), r["hi"])),
         ).otherwise(F.array(_range(r["lo"], r["hi"])))
         df = let(df, f"ranges{k + 1}", F.flatten(F.transform(f"ranges{k}", halve))).drop(f"ranges{k}")
-    sized = F.transform(f"ranges{rounds}", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), total(r).alias("n_bytes")))
+    part = lambda r: [F.slice(F.col(carry), r["lo"] + 1, r["hi"] - r["lo"]).alias("part")] if carry else []
+    sized = F.transform(f"ranges{rounds}", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), total(r).alias("n_bytes"), *part(r)))
     out = df.select("doc_id", F.posexplode(sized).alias("batch_idx", "r"))
-    return out.select("doc_id", "batch_idx", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), (F.col("r.hi") - F.col("r.lo")).alias("n_segments"), F.col("r.n_bytes").alias("n_bytes"))
+    found = [F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), (F.col("r.hi") - F.col("r.lo")).alias("n_segments"), F.col("r.n_bytes").alias("n_bytes")]
+    return out.select("doc_id", "batch_idx", *found, *([F.col("r.part").alias(carry)] if carry else []))
 
 
 def naive_batches(n: Column, size: int = MAX_SEGMENTS) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verso.functions.text import is_translated, source_hash
@@ -50,7 +50,10 @@ def stats(cache: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def documents_as_requests(docs: DataFrame) -> DataFrame:
-    """Every text after the first of its kind, in order of ``doc_id``, finds the cache filled."""
+    """Every text after the first of its kind, in order of ``doc_id``, finds the cache filled.
+
+    The first of each text comes from an aggregation, which combines before the shuffle.
+    """
     hashed = docs.select("doc_id", source_hash(F.coalesce("text", F.lit(""))).alias("source_hash"))
-    first = Window.partitionBy("source_hash").orderBy("doc_id")
-    return hashed.withColumn("hit", F.row_number().over(first) > 1)
+    first = hashed.groupBy("source_hash").agg(F.min("doc_id").alias("first"))
+    return hashed.join(first, "source_hash").select("doc_id", "source_hash", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("hit"))

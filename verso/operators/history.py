@@ -38,11 +38,33 @@ def record_text(original: Column, translated: Column) -> Column:
     return F.concat(F.lit("[Original]\n"), original, F.lit("\n[Translated]\n"), translated, F.lit("\n---"))
 
 
-def batch_export(rows: DataFrame, order: str, by: str | None = None) -> DataFrame:
-    """``content`` of the export, for the caller's rows or for each value of ``by``."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), record_text(F.col("original"), F.col("translated")).alias("r"))))
-    content = F.array_join(F.transform(listed, lambda x: x["r"]), "").alias("content")
-    return rows.groupBy(by).agg(content) if by else rows.agg(content)
+def batch_export(rows: DataFrame, order: str) -> DataFrame:
+    """``order`` and ``content`` of each record of the export; the export is their contents in that order."""
+    return rows.select(order, record_text(F.col("original"), F.col("translated")).alias("content"))
+
+
+def write_export(rows: DataFrame, order: str, path: str) -> None:
+    """The export as text files whose names are in the export's order; no task holds more than its part."""
+    body = F.expr("substr(content, 1, length(content) - 3)").alias("content")  # the writer ends each record itself
+    batch_export(rows, order).orderBy(order).select(body).write.option("lineSep", "---").text(path)
+
+
+def history_file_name(seconds: Column) -> Column:
+    return F.concat(F.lit("history_"), seconds.cast("string"), F.lit(".json"))
+
+
+def write_history(rows: DataFrame, folder: str, seconds: int, seq: str = "seq") -> str:
+    """The history, newest last, as JSON lines below a name that has the time; returns the path."""
+    path = f"{folder.rstrip('/')}/history_{seconds}.json"
+    rows.orderBy(seq).write.json(path)
+    return path
+
+
+def previews(rows: DataFrame, order: str, n: int, by: str | None = None) -> DataFrame:
+    """The first ``n`` rows, of the table or of each value of ``by``."""
+    if by is None:
+        return rows.orderBy(order).limit(n)
+    return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("rn_") <= n).drop("rn_")
 
 
 def history_json(rows: DataFrame) -> DataFrame:

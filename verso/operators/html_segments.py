@@ -1,7 +1,8 @@
 """HTML segmentation and marker-bearing skeletons, and the substitution of translations for markers.
 
-Tokens of a page are exploded where the page is and meet again in one shuffle by page, in which every
-running flag (code depth, pending element, number of flushes) is a window over the token order.
+Tokens of a page are exploded where the page is and meet again in one shuffle by document, in which every
+running flag (code depth, pending element, number of flushes) is a window over the token order. Translations
+are looked up by their segment's number, so that a missing one leaves a gap and moves no other.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verso.functions.text import interleave, trim
+from verso.functions.text import interleave, is_blank, trim
 
 #: Elements whose text is translated, and markup that goes with it.
 TRANSLATABLE = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "figcaption", "dt", "dd", "caption")
@@ -27,6 +28,8 @@ def tokens(pages: DataFrame, key: str = "page_id", html: str = "html", section:
     """
     source = pages.select(F.col(key).alias("doc_id"), (F.col(section) if section else F.lit(0)).alias("sec"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     name = F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    # Sections of a document stay together for all that follows.
+    source = source.repartition("doc_id") if section else source
     source = source.withColumn("name", name).withColumn("closes", F.col("tok").startswith("</"))
     order = Window.partitionBy("doc_id", "sec").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("doc_id", "sec")
@@ -58,19 +61,36 @@ def skeletons(pages: DataFrame, key: str = "page_id", html: str = "html", sectio
     just before the end tag; all other tags stay.
     """
     found = tokens(pages, key, html, section)
-    named = segments(pages, key, html, section).select("doc_id", "sec", (F.col("g") + 1).alias("g"), "seg_idx")
     before, after = marker.split("{}")
-    joined = found.join(named.withColumn("ev", F.lit(0)), ["doc_id", "sec", "g", "ev"], "left")
     pending = (F.col("pend") == 1) & (F.col("g") < F.col("gt"))
-    piece = (
-        F.when(F.col("seg_idx").isNotNull(), F.concat(F.lit(before), F.col("seg_idx").cast("string"), F.lit(after), F.col("tok")))
-        .when(pending & (_is_text(F.col("tok")) | F.col("name").isin(*INLINE)), "")
-        .otherwise(F.col("tok"))
-    )
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"])
-    sections = joined.groupBy("doc_id", "sec").agg(F.array_join(pieces, "").alias("marked"), F.count("seg_idx").alias("segment_count"))
-    earlier = Window.partitionBy("doc_id").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
-    return sections.withColumn("segment_start", F.coalesce(F.sum("segment_count").over(earlier), F.lit(0)))
+    # An end belongs to the text that it closes; it has a segment if any of that text is not blank.
+    closing = F.col("ev") == 0
+    flagged = found.withColumn("own", F.col("g") - F.when(closing, 1).otherwise(0)).withColumn("full", _is_text(F.col("tok")) & pending & ~is_blank(F.col("tok")))
+    of_segment = Window.partitionBy("doc_id", "sec", "own")
+    flagged = flagged.withColumn("has", F.coalesce(closing, F.lit(False)) & F.max("full").over(of_segment))
+    order = Window.partitionBy("doc_id", "sec").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = flagged.withColumn("number", F.when(F.col("has"), F.sum(F.col("has").cast("int")).over(order) - 1))
+    piece = F.when(F.col("has"), F.col("tok")).when(pending & (_is_text(F.col("tok")) | F.col("name").isin(*INLINE)), "").otherwise(F.col("tok"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "number", piece.alias("piece")))).alias("pieces")
+    sections = numbered.groupBy("doc_id", "sec").agg(listed, F.count("number").alias("segment_count"))
+    if section:
+        earlier = Window.partitionBy("doc_id").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+        sections = sections.withColumn("segment_start", F.coalesce(F.sum("segment_count").over(earlier), F.lit(0)))
+    else:
+        sections = sections.withColumn("segment_start", F.lit(0).cast("bigint"))
+    mark = lambda x: F.concat(F.lit(before), (F.col("segment_start") + x["number"]).cast("string"), F.lit(after), x["piece"])
+    marked = F.array_join(F.transform("pieces", lambda x: F.when(x["number"].isNotNull(), mark(x)).otherwise(x["piece"])), "")
+    return sections.select("doc_id", "sec", marked.alias("marked"), "segment_start", "segment_count")
+
+
+def by_number(translated: DataFrame) -> DataFrame:
+    """``doc_id`` and ``translations``, an array with each translation at its segment's number and nulls in the gaps.
+
+    Of rows that repeat a segment the smallest translation counts.
+    """
+    one = translated.groupBy("doc_id", F.col("seg_idx").cast("int").alias("seg_idx")).agg(F.min("translation").alias("translation"))
+    found = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("seg_idx", "translation"))).alias("found"), F.max("seg_idx").alias("last"))
+    return found.select("doc_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at(F.col("found"), k)).alias("translations"))
 
 
 def substitute(marked: Column, translations: Column, kind: str = "EPUB") -> Column:
@@ -94,6 +114,6 @@ def restore_code(text: Column, codes: Column) -> Column:
 
 
 def assemble(pages: DataFrame, translated: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Pages with their segments replaced; ``translated``: ``doc_id, seg_idx, translation``."""
-    listed = translated.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "translation"))), lambda x: x["translation"]).alias("translations"))
-    return skeletons(pages, key, html).join(listed, "doc_id", "left").select("doc_id", substitute(F.col("marked"), F.coalesce("translations", F.array().cast("array<string>"))).alias("html"))
+    """Pages with their segments replaced; ``translated``: ``doc_id, seg_idx, translation``. A segment without one is left out."""
+    joined = skeletons(pages, key, html).join(by_number(translated), "doc_id", "left")
+    return joined.select("doc_id", substitute(F.col("marked"), F.coalesce("translations", F.array().cast("array<string>"))).alias("html"))

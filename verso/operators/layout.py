@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verso.operators.folds import fold
+
 #: Page and type sizes in points; by heading level: size, space before, space after.
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN, BASE, LINE = 595.28, 841.89, 72.0, 11.0, 15.4
 HEADING_SIZE = {1: 20.0, 2: 17.0, 3: 14.0, 4: 12.0}
@@ -16,7 +18,10 @@ HEADING_BEFORE = {1: 24.0, 2: 20.0, 3: 16.0, 4: 12.0}
 HEADING_AFTER = {1: 12.0, 2: 10.0, 3: 8.0}
 OTHER_SIZE, OTHER_BEFORE, OTHER_AFTER = 11.0, 8.0, 6.0
 WIDE, NARROW, SPACE = 0.95, 0.55, 0.3
+ASCII_SPACE = " \t\n\x0c\r"
 CODE_FONT = (9.0, 10.0)
+#: A page's foot above the margin; code: space before, space inside, indents of the text and of the bar.
+FOOT, CODE_BEFORE, CODE_PAD, CODE_INDENT, BAR_INDENT = 30.0, 4.0, 2.0, 30.0, 18.0
 
 
 def _lookup(level: Column, values: dict[int, float], other: float) -> Column:
@@ -54,87 +59,116 @@ def italic_size() -> float:
 
 
 def wrap(text: str, size: float, area: float) -> list[str]:
-    """Lines of a text by summed character widths; at least one character each, blank lines left out."""
+    """Lines of a text by summed character widths, at least one character each.
+
+    What fits by the number of full-width characters, less two for safety, is one line.
+    """
     lines: list[str] = []
-    room = max(0, math.floor(area / size) - 2)
-    for source in text.split("\n"):
-        source = source.rstrip()
-        if not source:
-            continue
-        if len(source) <= room:
-            lines.append(source)
-            continue
-        start = 0
-        while start < len(source):
-            used, end = 0.0, start
-            while end < len(source):
-                c = source[end]
-                width = size * (WIDE if ord(c) > 0x7F else SPACE if c.isspace() else NARROW)
-                if used + width > area and end > start:
-                    break
-                used += width
-                end += 1
-            line = source[start:end].rstrip()
-            if line:
-                lines.append(line)
-            start = end
+    room, start = max(0, math.floor(area / size) - 2), 0
+    while len(text) - start > room:
+        used, end = 0.0, start
+        while end < len(text):
+            c = text[end]
+            used += size * (WIDE if ord(c) > 0x7F else SPACE if c in ASCII_SPACE else NARROW)
+            if used > area and end > start:
+                break
+            end += 1
+        lines.append(text[start:end])
+        start = end
+    if start < len(text):
+        lines.append(text[start:])
     return lines
 
 
 LAYOUT = "doc_id bigint, page_no int, line_no int, x double, y double, font string, size double, text string"
 
 
-def _lay_out(part: pd.DataFrame) -> pd.DataFrame:
-    """One document's elements, from top to bottom; a page ends where the next line would pass the margin."""
-    rows: list[tuple] = []
-    page, y, line = 1, PAGE_HEIGHT - MARGIN, 0
-    part = part.sort_values(["page", "place"])
-
-    def room_for(height: float) -> None:
-        nonlocal page, y, line
-        if y - height < MARGIN + 30:
-            page, y, line = page + 1, PAGE_HEIGHT - MARGIN, 0
-
-    for e in part.itertuples():
-        doc = e.doc_id
+class Cursor:
+    """Where the next line of a document goes: ``y`` is its base, from the page's foot."""
+
+    def __init__(self, doc: int) -> None:
+        self.doc, self.page, self.line, self.y = doc, 1, 0, PAGE_HEIGHT - MARGIN
+
+    def room_for(self, height: float) -> None:
+        """A new page if what is that high would reach into the foot."""
+        if self.y - height < MARGIN + FOOT:
+            self.page, self.line, self.y = self.page + 1, 0, PAGE_HEIGHT - MARGIN
+
+    def place(self, x: float, y: float, font: str, size: float, text: str) -> tuple:
+        self.line += 1
+        return (self.doc, self.page, self.line - 1, x, y, font, size, text)
+
+    def text(self, text: str, size: float, indent: float, font: str) -> Iterator[tuple]:
+        """A text's lines, narrowed and moved by ``indent``; a blank text is half a line of space."""
+        text = text.strip()
+        if not text:
+            self.room_for(LINE / 2)
+            self.y -= LINE / 2
+        for line in wrap(text, size, PAGE_WIDTH - 2 * MARGIN - indent):
+            if line := line.rstrip():
+                self.room_for(LINE)
+                yield self.place(MARGIN + indent, self.y, font, size, line)
+                self.y -= LINE
+
+    def code(self, text: str, font_size: float) -> Iterator[tuple]:
+        """A block of code: its lines as they are, kept together where a page can hold them, with a bar at their left."""
+        size = min(max(font_size, CODE_FONT[0]), CODE_FONT[1])
+        lines = [x.removesuffix("\r") for x in text.split("\n") if x.removesuffix("\r")]
+        self.y -= CODE_BEFORE
+        height = len(lines) * LINE + CODE_PAD
+        self.room_for(height)
+        yield self.place(MARGIN + BAR_INDENT, self.y - height + size, "bar", height, "")
+        for line in lines:
+            self.room_for(LINE)
+            yield self.place(MARGIN + CODE_INDENT, self.y, "mono", size, line)
+            self.y -= LINE
+        self.y -= OTHER_AFTER
+
+    def image(self, width: float, height: float) -> Iterator[tuple]:
+        """An image, no wider than the text, with its top at the cursor."""
+        factor = min(1.0, (PAGE_WIDTH - 2 * MARGIN) / width) if width else 1.0
+        self.room_for(height * factor)
+        yield self.place(MARGIN, self.y - height * factor, "image", height * factor, "")
+        self.y -= height * factor + OTHER_AFTER
+
+
+def _lay_out(elements: Iterable) -> Iterator[tuple]:
+    """One document's elements, from top to bottom."""
+    cursor = None
+    for e in elements:
+        cursor = cursor or Cursor(e.doc_id)
         if e.kind == "image":
-            room = PAGE_WIDTH - 2 * MARGIN
-            factor = min(1.0, room / e.width) if e.width else 1.0
-            room_for(e.height * factor)
-            y -= e.height * factor
-            rows.append((doc, page, line, MARGIN, y, "image", e.height * factor, ""))
-            line += 1
-            y -= LINE
-            continue
-        level = None if e.level is None or pd.isna(e.level) else int(e.level)
-        if e.kind == "code":
-            size = min(max(e.font_size, CODE_FONT[0]), CODE_FONT[1])
-            font, step, before, after = "mono", size * 1.4, 0.0, OTHER_AFTER
-        elif level is not None:
-            size = HEADING_SIZE.get(level, OTHER_SIZE)
-            font, step, before, after = "bold", size * 1.4, HEADING_BEFORE.get(level, OTHER_BEFORE), HEADING_AFTER.get(level, OTHER_AFTER)
+            yield from cursor.image(e.width or 0.0, e.height or 0.0)
+        elif e.kind == "code":
+            yield from cursor.code(e.text, e.font_size)
+        elif e.level is not None:
+            cursor.y -= HEADING_BEFORE.get(e.level, OTHER_BEFORE)
+            yield from cursor.text(e.text, HEADING_SIZE.get(e.level, OTHER_SIZE), max(e.indent, 0.0), "bold")
+            cursor.y -= HEADING_AFTER.get(e.level, OTHER_AFTER)
         else:
-            size = italic_size() if e.is_italic else BASE
-            font, step, before, after = ("italic" if e.is_italic else "body"), LINE, 0.0, OTHER_AFTER
-        if before:
-            room_for(before + step)
-            y -= before
-        for text in wrap(e.text, size, PAGE_WIDTH - 2 * MARGIN):
-            room_for(step)
-            y -= step
-            rows.append((doc, page, line, MARGIN, y, font, size, text))
-            line += 1
-        y -= after
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
+            yield from cursor.text(e.text, italic_size() if e.is_italic else BASE, max(e.indent, 0.0), "italic" if e.is_italic else "body")
+            cursor.y -= OTHER_AFTER
 
 
 def lay_out(elements: DataFrame) -> DataFrame:
     """``LAYOUT`` of documents' elements in order (``page, place, kind, text, font_size, meta, width, height``).
 
-    The cursor runs through the whole document, so that a document is the unit of work.
+    The cursor runs through the whole document, which is folded element by element in one task.
     """
-    flat = elements.select("doc_id", "page", "place", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("font_size").cast("double"), F.lit(BASE)).alias("font_size"), F.col("meta.level").alias("level"), F.coalesce("meta.is_italic", F.lit(False)).alias("is_italic"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
-    return flat.groupBy("doc_id").applyInPandas(_lay_out, LAYOUT)
+    flat = elements.select(
+        "doc_id",
+        "page",
+        "place",
+        "kind",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("font_size").cast("double"), F.lit(BASE)).alias("font_size"),
+        F.col("meta.level").cast("int").alias("level"),
+        F.coalesce(F.col("meta.indent").cast("double"), F.lit(0.0)).alias("indent"),
+        F.coalesce("meta.is_italic", F.lit(False)).alias("is_italic"),
+        F.col("width").cast("double").alias("width"),
+        F.col("height").cast("double").alias("height"),
+    )
+    return fold(flat, ["doc_id"], ["page", "place"], LAYOUT, _lay_out)
 
 
 def display_width(text: str) -> int:

@@ -4,7 +4,8 @@ A scanner over lines and, within them, inline tokens; CommonMark's block state i
 Python function over whole documents, one Arrow pass without a shuffle. Supported: ATX and setext headings,
 paragraphs, quotes, nested bullet and numbered lists with task marks, fenced and indented code, tables,
 HTML blocks, rules, footnote definitions and references, front matter, links, images, emphasis, strong,
-strike-through, inline code and inline HTML. Link reference definitions are copied and not resolved.
+strike-through, inline code and inline HTML. Link reference definitions are copied and not resolved. Items of a
+numbered list are counted from its first number; each list has its own count.
 
 Text is cut into segments at every inline boundary and source line; a segment is trimmed and, if it is not
 blank, replaced by a marker. Inline code and HTML inside a segment are numbered placeholders, restored
@@ -110,12 +111,16 @@ class Scanner:
     def blocks(self, lines: list[str], prefix: str) -> None:
         """A run of lines of which ``prefix`` has been taken off; it is written before each line again."""
         k, paragraph = 0, False
+        # Sign and next number of the numbered list that the next item may continue.
+        counted: tuple[str, int] | None = None
         while k < len(lines):
             line = lines[k]
             k += 1
             fence = _FENCE.match(line)
             heading = _HEADING.match(line)
             item = _ITEM.match(line)
+            if line.strip() and not item:
+                counted = None
             if not line.strip():
                 self.out.append(prefix.rstrip() + "\n" if prefix.strip() else "\n")
                 paragraph = False
@@ -152,7 +157,14 @@ class Scanner:
                 self.blocks(quoted, prefix + "> ")
                 paragraph = False
             elif item:
-                self.out.append(f"{prefix}{item[1]}{item[2]} ")
+                mark = item[2]
+                if mark[-1] in ".)":
+                    number = counted[1] if counted and counted[0] == mark[-1] else int(mark[:-1])
+                    counted = (mark[-1], number + 1)
+                    mark = f"{number}{mark[-1]}"
+                else:
+                    counted = None
+                self.out.append(f"{prefix}{item[1]}{mark} ")
                 rest = item[4]
                 task = _TASK.match(rest)
                 if task:
@@ -168,7 +180,7 @@ class Scanner:
                     inner.append(lines[k][min(width, len(lines[k]) - len(lines[k].lstrip())) :] if lines[k].strip() else "")
                     k += 1
                 if inner:
-                    self.blocks(inner, prefix + " " * width)
+                    self.blocks(inner, prefix + " " * (width + len(mark) - len(item[2])))
                 paragraph = False
             elif "|" in line and k < len(lines) and _DELIMITER.match(lines[k]) and "-" in lines[k] and len(self.cells(line)) == len(self.cells(lines[k])):
                 self.out.append(prefix)

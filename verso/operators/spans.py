@@ -7,11 +7,13 @@ img_idx, y, width, height, data. Thresholds are 32-bit floats, as in the positio
 from __future__ import annotations
 
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verso.functions.text import is_blank, let, trim
+from verso.operators.folds import fold
 
 DEFAULT_THRESHOLD, LEAST_THRESHOLD, PARAGRAPH_FACTOR = 25.0, 18.0, 1.8
 LEFT_MARGIN, CAPTION_REACH = 72.0, 100.0
@@ -86,46 +88,49 @@ def classify(text: Column, font_size: Column, is_monospace: Column, min_x: Colum
 GROUPS = "doc_id bigint, page int, island int, group int, start_y float, text string, font_size float, min_x float, is_monospace boolean, is_italic boolean"
 
 
-def _fold_page(page: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one page's islands. A break depends on the largest font of the group so far: a fold, no window."""
-    rows = []
-    for island, part in page.sort_values("ord").groupby("island", sort=True):
-        current, last_y, start = None, None, part.iloc[0]
-
-        def close(group, number):
-            text = "".join(group["parts"]).strip()
-            if text:
-                rows.append((start.doc_id, start.page, island, number, start.y, text, group["font"], group["x"], group["mono"], group["italic"]))
-
-        number = 0
-        for s in part.itertuples():
-            breaks = False
-            if last_y is not None:
-                so_far = "".join(current["parts"]).strip()
-                if s.y > last_y:
-                    breaks = s.y - last_y > 1000 or so_far.endswith(SENTENCE_ENDS)
-                else:
-                    breaks = last_y - s.y > s.threshold or (abs(s.font_size - current["font"]) > 4 and so_far != "")
-            if current is None or breaks:
-                if current is not None:
-                    close(current, number)
-                    number += 1
-                current = {"parts": [], "font": 0.0, "x": 9999.0, "mono": False, "italic": False}
-            elif not s.is_monospace:
-                current["parts"].append(" ")
-            current["parts"].append(s.text)
-            current["font"], current["x"] = max(current["font"], s.font_size), min(current["x"], s.x)
-            current["mono"], current["italic"] = current["mono"] or bool(s.is_monospace), current["italic"] or bool(s.is_italic)
-            last_y = s.y
-        close(current, number)
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in GROUPS.split(", ")])
+def _fold_page(spans: Iterable) -> Iterator[tuple]:
+    """Groups of one island. A break depends on the largest font of the group so far: a fold, no window.
+
+    A span below the one before it (or level with it) begins a group where the gap is a paragraph's or the font jumps;
+    one above it, where it is far above or the text so far ends a sentence.
+    """
+    number, start, last = 0, None, None
+    parts: list[str] = []
+    font = least = 0.0
+    mono = italic = False
+
+    def closed() -> list[tuple]:
+        text = "".join(parts).strip()
+        return [(start.doc_id, start.page, start.island, number, start.y, text, font, least, mono, italic)] if text else []
+
+    for s in spans:
+        start = start or s
+        if last is not None:
+            so_far = "".join(parts).strip()
+            rise = s.y - last.y
+            if rise > 0:
+                breaks = rise > 1000 or so_far.endswith(SENTENCE_ENDS)
+            else:
+                breaks = -rise > s.threshold or (abs(s.font_size - font) > 4 and so_far != "")
+            if breaks:
+                yield from closed()
+                number, parts = number + 1, []
+        if not parts:
+            font, least, mono, italic = 0.0, 9999.0, False, False
+        elif not s.is_monospace:
+            parts.append(" ")
+        parts.append(s.text)
+        font, least, mono, italic = max(font, s.font_size), min(least, s.x), mono or s.is_monospace, italic or s.is_italic
+        last = s
+    yield from closed()
 
 
 def group_spans(spans: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Text groups of every page, classified: ``GROUPS`` and ``meta``. A page is the unit of work."""
+    """Text groups of every page, classified: ``GROUPS`` and ``meta``. An island of a page is the unit of work."""
     source = islands(spans).filter(~F.col("is_monospace"))
     joined = source.join(thresholds if thresholds is not None else paragraph_thresholds(spans), "doc_id")
-    grouped = joined.groupBy("doc_id", "page").applyInPandas(_fold_page, GROUPS)
+    needed = joined.select("doc_id", "page", F.col("island").cast("int").alias("island"), "ord", "text", "x", "y", "font_size", F.col("threshold").cast("double").alias("threshold"), "is_monospace", "is_italic")
+    grouped = fold(needed, ["doc_id", "page", "island"], ["ord"], GROUPS, _fold_page)
     return grouped.withColumn("meta", classify(F.col("text"), F.col("font_size"), F.col("is_monospace"), F.col("min_x"), F.col("is_italic"))["meta"])
 
 
@@ -141,11 +146,13 @@ def simple_groups(spans: DataFrame, reach: float = 4.0) -> DataFrame:
 def page_elements(spans: DataFrame, images: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Text, code and images of every page in reading order, captions after the image that they belong to.
 
-    ``doc_id, page, place, kind, text, font_size, meta, img_idx, width, height``. A caption (its text starts
+    ``doc_id, page, place, kind, text, font_size, meta, img_idx, width, height, seg_idx``; ``seg_idx`` numbers a
+    document's texts by page, island and group, for their translations. A caption (its text starts
     with the sign for figure or has the word) goes behind the nearest image within 100 points if it stands
     before it; of equally near images the earlier counts.
     """
     texts = group_spans(spans, thresholds).select("doc_id", "page", F.col("start_y").alias("y"), (F.col("island") * 1000000 + F.col("group")).cast("long").alias("seq"), F.lit("text").alias("kind"), "text", "font_size", "meta")
+    texts = texts.withColumn("seg_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq")) - 1)
     codes = code_blocks(spans).select("doc_id", "page", F.col("start_y").alias("y"), (F.col("island") * 1000000).cast("long").alias("seq"), F.lit("code").alias("kind"), "text", "font_size")
     pictures = images.select("doc_id", "page", "y", (F.lit(1 << 60) + F.col("img_idx")).alias("seq"), F.lit("image").alias("kind"), "img_idx", "width", "height")
     union = texts.unionByName(codes, allowMissingColumns=True).unionByName(pictures, allowMissingColumns=True)
@@ -160,7 +167,7 @@ def page_elements(spans: DataFrame, images: DataFrame, thresholds: DataFrame | N
     moved = joined.withColumn("target", target)
     order = Window.partitionBy("doc_id", "page").orderBy(F.coalesce("target", "place"), F.col("target").isNotNull(), "place")
     out = moved.withColumn("place", F.row_number().over(order) - 1)
-    return out.select("doc_id", "page", "place", "kind", "text", "font_size", "meta", "img_idx", "width", "height")
+    return out.select("doc_id", "page", "place", "kind", "text", "font_size", "meta", "img_idx", "width", "height", "seg_idx")
 
 
 def synthetic_spans(docs: DataFrame) -> DataFrame:

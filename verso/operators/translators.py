@@ -172,14 +172,16 @@ def build_prompt(segments: list[tuple[int, str]], source: str, target: str) -> s
     return head + "".join(f"\n[SEG_{i}]\n{t}\n" for i, t in segments)
 
 
-def translate_batch(translator: Translator, segments: list[tuple[int, str]], source: str, target: str, system: str = prompts.SYSTEM_PROMPT, retries: int = 3, strict: bool = True, sleep: Callable[[float], None] = time.sleep) -> tuple[dict[int, str], dict[int, str], int]:
-    """Translations and errors by index, and the number of prompts sent."""
+def translate_batch(translator: Translator, segments: list[tuple[int, str]], source: str, target: str, system: str = prompts.SYSTEM_PROMPT, retries: int = 3, strict: bool = True, sleep: Callable[[float], None] = time.sleep, pause: float = 0.0) -> tuple[dict[int, str], dict[int, str], int]:
+    """Translations and errors by index, and the number of prompts sent; ``pause``: seconds before each part."""
     done: dict[int, str] = {}
     failed: dict[int, str] = {}
     sent = 0
     queue = [segments]
     while queue:
         part = queue.pop()
+        if pause:
+            (sleep or time.sleep)(pause)
         if not part:
             continue
         prompt, problem = build_prompt(part, source, target), ""
@@ -206,7 +208,8 @@ RESULTS = "doc_id bigint, batch_idx int, seg_idx int, translation string, error
 def run_batches(batches: DataFrame, translator: Translator, source: str, target: str, **options) -> DataFrame:
     """``RESULTS`` of batches (``doc_id, batch_idx, segs: array<struct<idx, text>>``).
 
-    The plan must be written before it is used twice: Catalyst may otherwise send prompts again.
+    The plan must be written before it is used twice: Catalyst may otherwise send prompts again. A task sends one
+    prompt at a time, so that the number of partitions bounds the prompts in flight.
     """
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

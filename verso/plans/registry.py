@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verso.functions import language, prompts, responses, text
+from verso.functions import entities, language, prompts, responses, text
 from verso.operators import batching, cache, history, layout, markdown, spans, translators
 from verso.operators import html_segments as html
 from verso.plans import flows
@@ -52,6 +52,8 @@ d AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p
 s AS (SELECT doc_id, g, regexp_replace(string_agg(tok, '' ORDER BY pos), '^\s+|\s+$', '', 'g') AS text FROM d WHERE NOT starts_with(tok, '<') AND pend = 1 AND g < gt GROUP BY doc_id, g),
 segs AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS seg_idx, text FROM s WHERE text <> '')
 """
+#: Eight pages as the sections of one document: their segments are numbered through.
+SECTIONS = "segs AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id, g) - 1 AS seg_idx, text FROM s WHERE text <> '')"
 PIECE = """
 pieces AS (SELECT d.doc_id, pos, CASE WHEN seg_idx IS NOT NULL THEN {marker} || tok
   WHEN pend = 1 AND d.g < gt AND (NOT starts_with(tok, '<') OR name IN ('a','abbr','b','br','cite','code','em','font','i','img','mark','q','s','small','span','strong','sub','sup','u')) THEN ''
@@ -70,21 +72,26 @@ def html_segment_counts(spark, sf_dir):
 
 
 @query(
-    HTML
+    HTML[: HTML.index("segs AS")]
+    + SECTIONS
     + ","
     + PIECE.format(marker="chr(0) || 'EPUB_' || seg_idx || chr(0)")
-    + "SELECT doc_id, sha256(string_agg(piece, '' ORDER BY pos)) AS marked_sha256, count(seg_idx) AS segment_count, 0::BIGINT AS segment_start FROM pieces GROUP BY doc_id"
+    + ", sec AS (SELECT doc_id // 8 AS doc_id, doc_id % 8 AS sec, sha256(string_agg(piece, '' ORDER BY pos)) AS marked_sha256, count(seg_idx) AS segment_count FROM pieces GROUP BY ALL)"
+    + "SELECT *, coalesce(sum(segment_count) OVER (PARTITION BY doc_id ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment_start FROM sec"
 )
 def html_markers(spark, sf_dir):
-    found = html.skeletons(table(spark, sf_dir, "pages"))
-    return found.select("doc_id", F.sha2("marked", 256).alias("marked_sha256"), "segment_count", "segment_start")
+    """Every page with markers, eight pages being the sections of a document."""
+    pages = table(spark, sf_dir, "pages").select(F.expr("page_id div 8").alias("book"), (F.col("page_id") % 8).alias("part"), "html")
+    found = html.skeletons(pages, "book", "html", "part")
+    return found.select("doc_id", "sec", F.sha2("marked", 256).alias("marked_sha256"), "segment_count", "segment_start")
 
 
-@query(HTML + "," + PIECE.format(marker="'[TRANSLATED] ' || segs.text") + "SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS html FROM pieces GROUP BY doc_id")
+@query(HTML + "," + PIECE.format(marker="CASE WHEN strlen(segs.text) % 5 = 0 THEN '' ELSE '[TRANSLATED] ' || segs.text END") + "SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS html FROM pieces GROUP BY doc_id")
 def marker_export(spark, sf_dir):
+    """Every page put together again from translations, of which some (by their length in bytes) are missing."""
     pages = table(spark, sf_dir, "pages")
-    translated = html.segments(pages).select("doc_id", "seg_idx", F.concat(F.lit("[TRANSLATED] "), "text").alias("translation"))
-    return html.assemble(pages, translated)
+    translated = html.segments(pages).filter(F.octet_length("text") % 5 != 0)
+    return html.assemble(pages, translated.select("doc_id", "seg_idx", F.concat(F.lit("[TRANSLATED] "), "text").alias("translation")))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<code|<pre'))::BIGINT AS n_code, nullif(trim(regexp_extract(html, '(?s)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages")
@@ -129,24 +136,26 @@ def source_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.source_hash(F.col("text")).alias("source_hash"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.length("text").cast("bigint").alias("n_points"))
 
 
-CACHE = "h AS (SELECT doc_id, sha256(text) AS source_hash, text FROM documents), c AS (SELECT source_hash, 'T:' || left(any_value(text), 20) AS translated_text, CASE WHEN min(doc_id) % 3 = 0 THEN 0 WHEN min(doc_id) % 3 = 1 THEN 1 ELSE 2 END AS status FROM h WHERE doc_id % 2 = 0 GROUP BY source_hash)"
+CACHE = "h AS (SELECT doc_id, sha256(text) AS source_hash, text FROM documents), c AS (SELECT source_hash, 'T:' || any_value(text) AS translated_text, CASE WHEN max(quality) = 0 THEN 0 WHEN max(toxic) = 1 THEN 2 ELSE 1 END AS status FROM h JOIN labels USING (doc_id) GROUP BY source_hash)"
 
 
-def _cache(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _cache(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every text as a request, and the cache with the texts of labelled documents; poor ones count as not translated."""
     hashed = docs.select("doc_id", text.source_hash(F.col("text")).alias("source_hash"), "text")
-    filled = hashed.filter("doc_id % 2 = 0").groupBy("source_hash").agg(F.concat(F.lit("T:"), F.left(F.any_value("text"), F.lit(20))).alias("translated_text"), (F.min("doc_id") % 3).cast("tinyint").alias("status"))
+    status = F.when(F.max("quality") == 0, text.UNTRANSLATED).when(F.max("toxic") == 1, text.POLISHED).otherwise(text.TRANSLATED)
+    filled = hashed.join(labels, "doc_id").groupBy("source_hash").agg(F.concat(F.lit("T:"), F.any_value("text")).alias("translated_text"), status.alias("status"))
     return hashed.select("doc_id", "source_hash"), filled
 
 
 @query("WITH " + CACHE + " SELECT doc_id, translated_text, translated_text IS NOT NULL AS hit, CASE WHEN translated_text IS NOT NULL THEN 0 END AS tokens_used FROM h LEFT JOIN (SELECT * FROM c WHERE status IN (1, 2)) USING (source_hash)")
 def cache_probe(spark, sf_dir):
-    requests, filled = _cache(table(spark, sf_dir, "documents"))
+    requests, filled = _cache(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return cache.probe(requests, filled).select("doc_id", "translated_text", "hit", "tokens_used")
 
 
 @query("WITH " + CACHE + " SELECT DISTINCT source_hash FROM h WHERE source_hash NOT IN (SELECT source_hash FROM c WHERE status IN (1, 2))")
 def cache_misses(spark, sf_dir):
-    requests, filled = _cache(table(spark, sf_dir, "documents"))
+    requests, filled = _cache(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return cache.misses(requests, filled).select("source_hash")
 
 
@@ -164,30 +173,25 @@ def cache_upsert(spark, sf_dir):
 
 # Work selection, batches, prompts and responses
 
-LABELLED = "x AS (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS seg_idx, d.text, l.quality, CASE WHEN l.quality IS NOT NULL THEN upper(d.text) END AS translation, d.doc_id % 7 = 0 AS keep_original FROM documents d LEFT JOIN labels l USING (doc_id))"
+LABELLED = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seg_idx FROM documents), x AS (SELECT ln.*, CASE WHEN quality = 1 AND length(text) % 9 <> 0 THEN upper(text) END AS translation, length(text) < 20 AS keep_original FROM ln LEFT JOIN labels USING (doc_id))"
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    """Documents as the segments of their source, translated where they have a label."""
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return joined.select(
-        "doc_id",
-        "source",
-        (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("seg_idx"),
-        "text",
-        F.when(F.col("quality").isNotNull(), F.upper("text")).alias("translation"),
-        (F.col("doc_id") % 7 == 0).alias("keep_original"),
-    )
+    """Documents' lines as segments; those of good documents are translated but for some (by their length), short ones are kept."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seg_idx", "text"))
+    joined = lines.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    translated = F.when((F.col("quality") == 1) & (F.length("text") % 9 != 0), F.upper("text"))
+    return joined.select("doc_id", "seg_idx", "text", translated.alias("translation"), (F.length("text") < 20).alias("keep_original"))
 
 
-@query("WITH " + LABELLED + " SELECT doc_id, source, seg_idx FROM x WHERE translation IS NULL AND NOT keep_original")
+@query("WITH " + LABELLED + " SELECT doc_id, seg_idx FROM x WHERE translation IS NULL AND NOT keep_original")
 def segment_filter(spark, sf_dir):
-    return batching.select_work(_labelled(spark, sf_dir)).select("doc_id", "source", "seg_idx")
+    return batching.select_work(_labelled(spark, sf_dir)).select("doc_id", "seg_idx")
 
 
-@query("WITH " + LABELLED + " SELECT source, count(*) AS n_segments, count(coalesce(translation, CASE WHEN keep_original THEN text END)) AS n_translated, min(seg_idx) FILTER (WHERE translation IS NULL AND NOT keep_original) AS first_missing, bool_and(translation IS NOT NULL OR keep_original) AS complete FROM x GROUP BY source")
+@query("WITH " + LABELLED + " SELECT doc_id, count(*) AS n_segments, count(coalesce(translation, CASE WHEN keep_original THEN text END)) AS n_translated, min(seg_idx) FILTER (WHERE translation IS NULL AND NOT keep_original) AS first_missing, bool_and(translation IS NOT NULL OR keep_original) AS complete FROM x GROUP BY doc_id")
 def doc_completeness(spark, sf_dir):
-    return batching.completeness(batching.keep_originals(_labelled(spark, sf_dir)), key="source")
+    return batching.completeness(batching.keep_originals(_labelled(spark, sf_dir)))
 
 
 PLAN = """
@@ -213,60 +217,63 @@ def naive_batch_plan(spark, sf_dir):
     return batching.lines_as_segments(table(spark, sf_dir, "documents")).select("doc_id", number.cast("bigint").alias("n_batches"), last.cast("bigint").alias("last_size"))
 
 
-PROMPT = """, f AS (SELECT p.doc_id, count(*) AS n, string_agg(chr(10) || '[SEG_' || (c.i - 1) || ']' || chr(10) || c.t || chr(10), '' ORDER BY c.i) AS body
-  FROM plan p JOIN cum c ON c.doc_id = p.doc_id AND c.i > p.lo AND c.i <= p.hi WHERE p.lo = 0 GROUP BY p.doc_id),
-prompts AS (SELECT doc_id, 'Translate the following ' || n || ' segments from en to zh-Hans.' || chr(10) || 'Each segment is wrapped in [SEG_N] markers.' || chr(10) || 'In your response, preserve the [SEG_N] markers exactly.' || chr(10)
+PROMPT = """, f AS (SELECT p.doc_id, p.lo, count(*) AS n, string_agg(chr(10) || '[SEG_' || (c.i - 1) || ']' || chr(10) || c.t || chr(10), '' ORDER BY c.i) AS body
+  FROM plan p JOIN cum c ON c.doc_id = p.doc_id AND c.i > p.lo AND c.i <= p.hi GROUP BY p.doc_id, p.lo),
+prompts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS batch_idx, 'Translate the following ' || n || ' segments from en to zh-Hans.' || chr(10) || 'Each segment is wrapped in [SEG_N] markers.' || chr(10) || 'In your response, preserve the [SEG_N] markers exactly.' || chr(10)
   || 'Place each translation immediately after its marker.' || chr(10) || 'DO NOT translate code, variable names, or technical identifiers.' || chr(10) || body AS prompt FROM f)
 """
 
 
-def _first_batches(spark, sf_dir) -> DataFrame:
-    """``doc_id, segs``: the first batch of each document as indexed texts; planned in the row, joined by nothing."""
+def _batches(spark, sf_dir) -> DataFrame:
+    """``doc_id, batch_idx, segs``: every batch of every document as indexed texts, sliced in the document's row."""
     lines = batching.lines_as_segments(table(spark, sf_dir, "documents"))
-    plan = batching.plan_batches(lines).filter("lo = 0").select("doc_id", "hi")
-    return lines.join(plan, "doc_id").select("doc_id", F.transform(F.slice("texts", F.lit(1), F.col("hi")), lambda t, i: F.struct(i.alias("idx"), t.alias("text"))).alias("segs"))
+    indexed = lines.withColumn("segs", F.transform("texts", lambda t, i: F.struct(i.alias("idx"), t.alias("text"))))
+    return batching.plan_batches(indexed, carry="segs").select("doc_id", "batch_idx", "segs")
 
 
-@query(PLAN + PROMPT + "SELECT doc_id, prompt FROM prompts")
+@query(PLAN + PROMPT + "SELECT doc_id, batch_idx, prompt FROM prompts")
 def batch_prompt(spark, sf_dir):
-    return _first_batches(spark, sf_dir).select("doc_id", prompts.batch_prompt(F.col("segs"), "en", "zh-Hans").alias("prompt"))
+    return _batches(spark, sf_dir).select("doc_id", "batch_idx", prompts.batch_prompt(F.col("segs"), "en", "zh-Hans").alias("prompt"))
 
 
-@query(PLAN + PROMPT + "SELECT doc_id, 'CRITICAL: You must preserve ALL [SEG_N] markers exactly as shown in your response. Do not skip, merge, or modify any markers.' || chr(10) || chr(10) || prompt AS prompt FROM prompts")
+@query(PLAN + PROMPT + "SELECT doc_id, batch_idx, 'CRITICAL: You must preserve ALL [SEG_N] markers exactly as shown in your response. Do not skip, merge, or modify any markers.' || chr(10) || chr(10) || prompt AS prompt FROM prompts")
 def retry_prompt(spark, sf_dir):
-    return _first_batches(spark, sf_dir).select("doc_id", prompts.retry_prompt(prompts.batch_prompt(F.col("segs"), "en", "zh-Hans")).alias("prompt"))
+    return _batches(spark, sf_dir).select("doc_id", "batch_idx", prompts.retry_prompt(prompts.batch_prompt(F.col("segs"), "en", "zh-Hans")).alias("prompt"))
 
 
-@query(PLAN + "SELECT p.doc_id, (c.i - 1)::BIGINT AS idx, '[TRANSLATED] ' || regexp_replace(c.t, '^\\s+|\\s+$', '', 'g') AS translation FROM plan p JOIN cum c ON c.doc_id = p.doc_id AND c.i > p.lo AND c.i <= p.hi WHERE p.lo = 0 AND regexp_replace(c.t, '^\\s+|\\s+$', '', 'g') <> ''")
+@query("SELECT doc_id, i AS idx, '[TRANSLATED] ' || t AS translation FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> ''")
 def mock_roundtrip(spark, sf_dir):
-    """Prompts of the first batches, answered by a prefix and parsed again."""
+    """Prompts of all batches, answered in reverse order by a prefix and parsed again."""
     answered = F.transform("segs", lambda s: F.concat(F.lit("[SEG_"), s["idx"].cast("string"), F.lit("]\n[TRANSLATED] "), s["text"], F.lit("\n\n")))
-    first = _first_batches(spark, sf_dir).select("doc_id", F.array_join(F.reverse(answered), "").alias("response"), F.size("segs").alias("n"), F.transform("segs", lambda s: s["idx"]).alias("asked"))
-    parsed = text.let(first, "p", responses.parse_batch(F.col("response"), F.col("n"), F.col("asked")))
+    asked = _batches(spark, sf_dir).select("doc_id", F.array_join(F.reverse(answered), "").alias("response"), F.size("segs").alias("n"), F.transform("segs", lambda s: s["idx"]).alias("asked"))
+    parsed = text.let(asked, "p", responses.parse_batch(F.col("response"), F.col("n"), F.col("asked")))
     rows = parsed.select("doc_id", F.explode("p.ok").alias("x"))
     return rows.select("doc_id", F.col("x.idx").cast("bigint").alias("idx"), F.col("x.text").alias("translation")).filter("translation <> '[TRANSLATED]'")
 
 
-CASES = (
-    ("[SEG_0]\nni hao\n\n[SEG_1]\nshijie\n\n[SEG_2]\nceshi\n", 3),
-    ("[SEG_0]\nhello\n", 1),
-    ("[SEG_0]\nonly one\n", 3),
-    ("no markers here at all", 1),
-    ("[SEG_0]  \n  bonjour  \n\n[SEG_1]\t\nmonde  \n", 2),
-    ("[SEG_0]\nhello\n\n[SEG_1]\n\n[SEG_2]\nworld\n", 3),
-    ("[SEG_99999999999999999999999]\nx", 1),
-)
+#: Ways in which an answer with a benchmark text can be marked, of which two texts are expected.
+FORMS = ("both", "swapped", "one", "three", "none", "too large")
 
 
 @query(
-    "SELECT k, n, CASE WHEN k = 6 THEN 'Invalid segment index in response' WHEN f = 0 OR f <> n THEN 'Expected ' || n || ' translations in batch response, but found ' || f END AS error, CASE WHEN k <> 6 AND f > 0 AND f = n THEN f END AS n_ok FROM (SELECT k, n, len(regexp_extract_all(r, '\\[SEG_\\d+\\]'))::BIGINT AS f FROM (VALUES "
-    + ", ".join(f"({k}, '{r}', {n})" for k, (r, n) in enumerate(CASES))
-    + ") x(k, r, n))"
+    "SELECT item_id, form, CASE form WHEN 5 THEN 'Invalid segment index in response' WHEN 2 THEN 'Expected 2 translations in batch response, but found 1' WHEN 3 THEN 'Expected 2 translations in batch response, but found 3' "
+    "WHEN 4 THEN 'Expected 2 translations in batch response, but found 0' END AS error, CASE WHEN form < 2 THEN text || '|' || text || '!' END AS texts FROM benchmark, range(6) r(form)"
 )
 def response_parse_errors(spark, sf_dir):
-    rows = spark.createDataFrame([(k, r, n) for k, (r, n) in enumerate(CASES)], "k int, r string, n int")
-    parsed = text.let(rows, "p", responses.parse_batch(F.col("r"), F.col("n")))
-    return parsed.select("k", "n", F.col("p.error").alias("error"), F.when(F.col("p.error").isNull(), F.size("p.ok").cast("bigint")).alias("n_ok"))
+    """Every benchmark text in answers that are marked rightly and wrongly."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(FORMS) - 1).cast("bigint"))).alias("form"))
+    part = lambda k, t: F.concat(F.lit(f"[SEG_{k}]\n "), t, F.lit(" \n\n"))
+    first, second = part(0, F.col("text")), part(1, F.concat("text", F.lit("!")))
+    made = (
+        F.when(F.col("form") == 0, F.concat(F.lit("Here: "), first, second))
+        .when(F.col("form") == 1, F.concat(second, first))
+        .when(F.col("form") == 2, first)
+        .when(F.col("form") == 3, F.concat(first, second, part(2, F.lit(""))))
+        .when(F.col("form") == 4, F.col("text"))
+        .otherwise(F.concat(first, part(10**24, F.col("text"))))
+    )
+    parsed = text.let(items.withColumn("answer", made), "p", responses.parse_batch(F.col("answer"), F.lit(2)))
+    return parsed.select("item_id", "form", F.col("p.error").alias("error"), F.when(F.col("p.error").isNull(), F.array_join(F.transform("p.ok", lambda x: x["text"]), "|")).alias("texts"))
 
 
 @query("SELECT item_id, form, CASE form WHEN 0 THEN 'T' || item_id WHEN 1 THEN 'T' || item_id WHEN 2 THEN 'T' || item_id WHEN 3 THEN text WHEN 4 THEN 'T' || text ELSE '' END AS cleaned FROM benchmark, range(6) r(form)")
@@ -348,10 +355,11 @@ def history_by_event(spark, sf_dir):
     return history.retained(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type")
 
 
-@query("SELECT string_agg('[Original]' || chr(10) || text || chr(10) || '[Translated]' || chr(10) || 'T:' || text || chr(10) || '---', '' ORDER BY item_id) AS content FROM benchmark")
+@query("SELECT doc_id, '[Original]' || chr(10) || text || chr(10) || '[Translated]' || chr(10) || 'T:' || text || chr(10) || '---' AS content FROM documents")
 def batch_export_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("original"), F.concat(F.lit("T:"), "text").alias("translated"))
-    return history.batch_export(rows, "item_id")
+    """A record of each document; the export is the records in order, as ``history.write_export`` writes them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"), F.concat(F.lit("T:"), "text").alias("translated"))
+    return history.batch_export(rows, "doc_id")
 
 
 @query("SELECT conv_id, sum(length(text)) FILTER (WHERE role <> 'assistant')::BIGINT AS prompt_tokens, sum(length(text)) FILTER (WHERE role = 'assistant')::BIGINT AS completion_tokens, sum(length(text))::BIGINT AS total_tokens FROM conversations GROUP BY conv_id")
@@ -388,13 +396,47 @@ STATUSES = (200, 204, 301, 401, 404, 429, 500)
 
 
 @query(
-    "SELECT s, CASE s WHEN 401 THEN 'AuthFailed' WHEN 429 THEN 'RateLimited' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'RequestFailed' END AS kind, CASE s WHEN 401 THEN 'Authentication failed: check API key' WHEN 429 THEN 'Rate limited: please retry later' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'API request failed: b' || s END AS message FROM (VALUES "
-    + ", ".join(f"({k})" for k in STATUSES)
-    + ") x(s)"
+    "SELECT event_id, s AS status, CASE s WHEN 401 THEN 'AuthFailed' WHEN 429 THEN 'RateLimited' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'RequestFailed' END AS kind, "
+    "CASE s WHEN 401 THEN 'Authentication failed: check API key' WHEN 429 THEN 'Rate limited: please retry later' WHEN 200 THEN NULL WHEN 204 THEN NULL ELSE 'API request failed: ' || event_type END AS message "
+    f"FROM (SELECT event_id, event_type, {list(STATUSES)}[event_id % {len(STATUSES)} + 1] AS s FROM events)"
 )
 def http_status_errors(spark, sf_dir):
-    rows = text.let(spark.createDataFrame([(k,) for k in STATUSES], "s int"), "e", responses.status_error(F.col("s"), F.concat(F.lit("b"), F.col("s").cast("string"))))
-    return rows.select("s", "e.kind", "e.message")
+    """Every event as an answer with one of the statuses, its type being the body."""
+    status = F.get(F.array(*map(F.lit, STATUSES)), (F.col("event_id") % len(STATUSES)).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", status.alias("status"))
+    return text.let(rows, "e", responses.status_error(F.col("status"), F.col("event_type"))).select("event_id", "status", "e.kind", "e.message")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'translated' ELSE 'failed' END AS status, CASE WHEN quality = 1 THEN 'T:' || text END AS translated_text, CASE WHEN quality = 0 THEN 'poor' END AS error, "
+    "source AS file_path, n_chars AS line_number, doc_id AS created_at, doc_id + CASE WHEN quality IS NULL THEN 0 ELSE 1 END AS updated_at, NOT coalesce(quality = 0, false) AND length(text) >= 100 AS is_valid, "
+    "CASE WHEN quality = 0 THEN 'poor;' ELSE '' END || CASE WHEN length(text) < 100 THEN 'short;' ELSE '' END AS errors, CASE WHEN toxic = 1 THEN 'toxic;' ELSE '' END AS warnings FROM documents LEFT JOIN labels USING (doc_id)"
+)
+def entity_transitions(spark, sf_dir):
+    """Every document as a task that its label marks as translated or failed, and as a validation with errors and warnings."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    made = entities.new_task(F.col("doc_id"), F.col("text"), F.col("lang"), F.lit("de"), F.col("doc_id"))
+    task = entities.with_metadata(made, file_path=F.col("source"), line_number=F.col("n_chars"))
+    later = F.col("doc_id") + 1
+    task = F.when(F.col("quality").isNull(), task).when(F.col("quality") == 1, entities.mark_translated(task, F.concat(F.lit("T:"), "text"), later)).otherwise(entities.mark_failed(task, F.lit("poor"), later))
+    found = entities.add_error(entities.valid(), F.when(F.col("quality") == 0, "poor"))
+    found = entities.add_error(found, F.when(F.length("text") < 100, "short"))
+    found = entities.add_warning(found, F.when(F.col("toxic") == 1, "toxic"))
+    both = text.let(text.let(rows, "task", task), "found", found)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(";"))), "")
+    return both.select("doc_id", "task.status", "task.translated_text", "task.error", "task.metadata.file_path", "task.metadata.line_number", "task.created_at", "task.updated_at", "found.is_valid", listed("found.errors").alias("errors"), listed("found.warnings").alias("warnings"))
+
+
+@query("SELECT lang, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
+def document_previews(spark, sf_dir):
+    """The first five documents of each language: the limit is the feature."""
+    return history.previews(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), "doc_id", 5, "lang")
+
+
+@query("SELECT page_id, 'translated_' || regexp_extract(url, '([^/]*)$', 1) || CASE WHEN regexp_extract(url, '([^/]*)$', 1) = '' THEN '1700000000.txt' ELSE '' END AS name FROM pages")
+def file_result_names(spark, sf_dir):
+    named = F.regexp_extract("url", "([^/]*)$", 1)
+    return table(spark, sf_dir, "pages").select("page_id", sinks.file_result_name(named, F.lit(1_700_000_000)).alias("name"))
 
 
 @query("SELECT conv_id, turn, text AS openai, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS anthropic FROM conversations")

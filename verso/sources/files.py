@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, path, text`` of whole text or Markdown files; the id is a hash of the path."""
-    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``doc_id, path, content`` of whole files."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    """``doc_id, path, content`` of whole files in the folder and below."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -46,22 +47,48 @@ def epub_files(files: DataFrame, sections: DataFrame) -> DataFrame:
     return joined.mapInPandas(work, "doc_id bigint, path string, content binary")
 
 
+def output_paths(files: DataFrame, root: str, target) -> DataFrame:
+    """``files`` with ``out``: each path below ``root`` with its name changed by ``target``, so that equal names in different folders stay apart."""
+    inside = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
+    base = F.lit("/" + root.split(":", 1)[-1].strip("/") + "/")
+    relative = F.when(F.startswith(inside, base), F.substring(inside, F.length(base) + 1, F.length(inside))).otherwise(F.regexp_extract(inside, r"([^/]*)$", 1))
+    return files.withColumn("out", target(relative))
+
+
 def write_files(df: DataFrame, folder: str, name: Column, content: Column) -> None:
-    """Write each row's bytes or text as a file of ``folder``, a path that executors share.
+    """Write each row's bytes or text as a file below ``folder``, through the file system that the path names.
 
-    A file appears under its name only when complete, so that a repeated task replaces it by the same.
+    ``name`` is a relative path; names that leave the folder or that two rows share are refused before anything is
+    written. A file appears under its name only when complete, so that a repeated task replaces it by the same.
     """
+    named = df.select(name.alias("name_"), content.alias("content"))
+    clash = named.groupBy("name_").count().filter((F.col("count") > 1) | F.col("name_").isNull() | F.col("name_").rlike(r"(^|/)\.\.(/|$)|^/")).limit(1).collect()
+    if clash:
+        raise ValueError(f"the name {clash[0].name_!r} is no path of its own in the folder")
+    from pyarrow import fs
 
     def work(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
         for row in rows:
-            data = row.content if isinstance(row.content, (bytes, bytearray)) else row.content.encode("utf-8")
-            path = os.path.join(folder, os.path.basename(row.name_))
-            with open(f"{path}.{os.getpid()}.part", "wb") as f:
+            data = bytes(row.content) if isinstance(row.content, (bytes, bytearray)) else row.content.encode("utf-8")
+            path = f"{base.rstrip('/')}/{row.name_}"
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(part) as f:
                 f.write(data)
-            os.replace(f"{path}.{os.getpid()}.part", path)
+            system.move(part, path)
+
+    named.foreachPartition(work)
+
+
+def file_result_name(name: Column, seconds: Column) -> Column:
+    """Name of a file's exported result: the file's own name marked as translated, or one with the time where it has none."""
+    return F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("translated_"), seconds.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("translated_"), name))
+
 
-    df.select(name.alias("name_"), content.alias("content")).foreachPartition(work)
+def write_file_results(results: DataFrame, folder: str, seconds: int) -> None:
+    """Write ``content`` of each row (``name``, ``content``) under its result's name."""
+    write_files(results, folder, file_result_name(F.col("name"), F.lit(seconds)), F.col("content"))
 
 
 def progress(attempts: DataFrame, key: str = "doc_id") -> DataFrame:

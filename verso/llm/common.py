@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,17 +13,22 @@ from pyspark.sql import functions as F
 
 #: White space of the corpus contracts: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of columns that are Python lists at a time.
+BYTES_AT_ONCE = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Without either, a local session gets a temporary folder; a cluster has no folder that could be guessed.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
-        if not found:
-            found = tempfile.mkdtemp(prefix="verso-")
-            context.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="verso-")
+        context.setCheckpointDir(found)
     return found
 
 
@@ -59,7 +65,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_columns(df: DataFrame, schema: str, work: Callable[[Iterator[list[list]]], Iterator[list]]) -> DataFrame:
     """``mapInArrow`` on Python lists: ``work`` gets an iterator of column lists and yields column lists of ``schema``.
 
-    The output's Arrow types come from ``schema``, so that empty and all-null batches keep their types.
+    The output's Arrow types come from ``schema``, so that empty and all-null batches keep their types. Batches
+    are halved until a part has at most ``BYTES_AT_ONCE`` bytes or one row, so that long texts need no more
+    memory than short ones.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -68,7 +76,7 @@ def map_columns(df: DataFrame, schema: str, work: Callable[[Iterator[list[list]]
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ([column.to_pylist() for column in batch.columns] for batch in batches)
+        lists = ([column.to_pylist() for column in part.columns] for batch in batches for part in _parts(batch))
         for columns in work(lists):
             arrays = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -76,6 +84,15 @@ def map_columns(df: DataFrame, schema: str, work: Callable[[Iterator[list[list]]
     return df.mapInArrow(run, spark_schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.nbytes <= BYTES_AT_ONCE or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _parts(batch.slice(0, half))
+        yield from _parts(batch.slice(half))
+
+
 def fold(column: str, divisor: int):
     """crc32 of an id written as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor

@@ -12,11 +12,14 @@ from .helpers import empty_docs, hard_docs
 def line_chunks(text):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    n = len(lines)
+    rolled = [((h[max(i - 1, 0)] * 31 + h[i]) % 2147483647 * 1103515245 + 12345) % 2147483647 for i in range(n)]
     out, at = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i and (h[i - 1] * 31 + h[i]) % 3 == 0):
+    for i in range(n):
+        if i == n - 1 or (0 < i < n - 2 and rolled[i] < rolled[i - 1] and rolled[i] <= rolled[i + 1]):
             out.append(lines[at : i + 1])
             at = i + 1
+    assert n < 2 or min(map(len, out)) > 1
     return out
 
 
@@ -59,6 +62,18 @@ def test_line_chunks_equal_brute_force(spark):
     assert sum(len(t or "") for _, t in got) < sum(len(t or "") for _, t in rows)
 
 
+def test_copies_and_long_blocks_go(spark):
+    """Of whole copies nothing stays, of a long block that other lines surround all but its edges goes."""
+    rng = random.Random(8)
+    line = lambda: f"line {rng.random()}"
+    block = [line() for _ in range(40)]
+    rows = [(0, "\n".join(block)), (1, "\n".join(block)), (2, "\n".join([*[line() for _ in range(7)], *block, *[line() for _ in range(5)]])), (3, "a\nb"), (4, "a\nb"), (5, "a\nb\nc"), (6, "a\nb\nc")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), report=True).collect()}
+    assert got[0].n_removed == got[3].n_removed == got[5].n_removed == 0
+    assert got[1].n_removed == 40 and got[4].n_removed == 2 and got[6].n_removed == 3 and got[1].text == ""
+    assert 28 <= got[2].n_removed <= 40
+
+
 def test_line_hard_rows(spark):
     docs = hard_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -132,6 +147,26 @@ def test_spans_equal_brute_force(spark):
     assert report == sum(a != b for a, b in zip(brute_spans(rows), sorted(rows, key=str), strict=True)) or report > 0
 
 
+def test_passages_in_mid_sentence(spark):
+    """Passages of 51 words and more lose all copies but the first, wherever a sentence is when they begin, with or without signs."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    rows, planted = [], []
+    for k in range(150):
+        rate = (0, 0.05, 0.15)[k % 3]
+        passage = [word() + ("." if rng.random() < rate else "") for _ in range(rng.randrange(51, 80))]
+        planted.append(passage)
+        for copy in (0, 1):
+            around = [" ".join(word() + ("." if rng.random() < 0.08 else "") for _ in range(rng.randrange(1, 40))) for _ in range(2)]
+            rows.append((2 * k + copy, " ".join([around[0], *passage, around[1]])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id: r for r in span_dedup.dedup_spans(docs, report=True).collect()}
+    removed = [left[2 * k + 1].removed_words for k in range(len(planted))]
+    assert all(left[2 * k].removed_words == 0 for k in range(len(planted)))
+    assert all(r >= span_dedup.SPAN_WORDS for r in removed)
+    assert sum(removed) > 0.8 * sum(map(len, planted))
+
+
 def test_span_hard_rows(spark):
     docs = hard_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

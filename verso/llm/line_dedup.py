@@ -1,8 +1,10 @@
 """Line deduplication by content-defined chunks, in DataFrame functions only.
 
 A document's lines are hashed, and a hash that rolls over each two neighbouring lines chooses the chunk
-boundaries: a chunk ends after a line where the rolled value is a multiple of ``DIVISOR``. Boundaries so
-depend on the lines around them and not on their place, and an insertion shifts no chunk but its own.
+boundaries: a chunk ends after a line where the rolled value is smaller than after the line before and not
+larger than after the next one, but neither after the first line nor after the last but one. Boundaries so
+depend on the lines around them and not on their place, and an insertion shifts no chunk but its own; every
+chunk of a document of two lines or more has two lines or more, three in the mean.
 
 A chunk of two lines or more, not all white space, that occurs more than once in the corpus is kept at
 its first place only: in the row with the smallest id, there at its first occurrence. Equality is decided
@@ -13,8 +15,9 @@ Shuffles: the chunks once, with partial aggregation, so that a chunk that a thir
 leaves each task as one row; names and ids once; whole rows once for attaching what to remove. Very
 long documents are handled by sorting within the row.
 
-A null text stays null. Rows that repeat an id are one document. A row with a null id is first only where
-no row has an id. Every row and column is returned, with ``text`` replaced.
+A null text stays null; an empty text is one empty line, which stays. Rows that repeat an id are one document. A
+row with a null id is first only where no row has an id. Every row and column is returned, with ``text`` replaced;
+columns may have any names and ``key`` any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, let, table
 
-DIVISOR = 3
 NEWLINE = "\n"
+#: Fixed values of the rolling hash: factor, modulus, and the two that spread it.
+ROLL, PRIME, SPREAD, SHIFT = 31, 2147483647, 1103515245, 12345
 
 
 def _hash(line: Column) -> Column:
@@ -34,17 +38,20 @@ def _hash(line: Column) -> Column:
 
 def _chunked(docs: DataFrame, text: str, to: str) -> DataFrame:
     """``docs`` with the array ``to``: text, lines and name of each chunk; a chunk that always stays has no name."""
-    lines, hashes, last = (fresh(docs, f"{to}_{x}") for x in ("lines", "hashes", "last"))
+    lines, hashes, rolled, last = (fresh(docs, f"{to}_{x}") for x in ("lines", "hashes", "rolled", "last"))
     out = let(docs, lines, F.split(F.coalesce(F.col(text), F.lit("")), NEWLINE, -1))
     out = let(out, hashes, F.transform(lines, _hash))
+    roll = lambda h, i: (((F.get(F.col(hashes), F.greatest(i - 1, F.lit(0))) * ROLL + h) % PRIME) * SPREAD + SHIFT) % PRIME
+    out = let(out, rolled, F.transform(hashes, roll)).drop(hashes)
     end = F.size(lines) - 1
-    rolled = lambda i: F.get(F.col(hashes), F.greatest(i - 1, F.lit(0))) * 31 + F.get(F.col(hashes), i)
-    out = let(out, last, F.filter(F.sequence(F.lit(0), end), lambda i: (i == end) | ((i > 0) & (rolled(i) % DIVISOR == 0))))
+    at = lambda i: F.get(F.col(rolled), i)
+    lowest = lambda i: (i > 0) & (i < end - 1) & (at(i) < at(F.greatest(i - 1, F.lit(0)))) & (at(i) <= at(i + 1))
+    out = let(out, last, F.filter(F.sequence(F.lit(0), end), lambda i: (i == end) | lowest(i))).drop(rolled)
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(F.col(last), F.greatest(k - 1, F.lit(0))) + 1)
     out = let(out, f"{to}_plain", F.transform(last, lambda e, k: F.struct(F.array_join(F.slice(F.col(lines), start(k) + 1, e - start(k) + 1), NEWLINE).alias("text"), (e - start(k) + 1).alias("lines"))))
     counts = lambda c: (c["lines"] > 1) & c["text"].rlike(r"[^\x20\x09-\x0D]")
     named = F.transform(f"{to}_plain", lambda c: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), F.when(counts(c), F.md5(c["text"])).alias("name")))
-    return let(out, to, named).drop(lines, hashes, last, f"{to}_plain")
+    return let(out, to, named).drop(lines, last, f"{to}_plain")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool = False) -> DataFrame:
@@ -82,7 +89,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
 SQL_STAGE = r"""
 {p}l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM {docs}),
 {p}h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM {p}l),
-{p}b AS (SELECT *, CASE WHEN i > 0 AND (lag(h) OVER (PARTITION BY r ORDER BY i) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS ends FROM {p}h),
+{p}v AS (SELECT *, (((coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), h) * 31 + h) % 2147483647) * 1103515245 + 12345) % 2147483647 AS v, count(*) OVER (PARTITION BY r) AS n FROM {p}h),
+{p}b AS (SELECT *, CASE WHEN i > 0 AND i < n - 2 AND v < lag(v) OVER (PARTITION BY r ORDER BY i) AND v <= lead(v) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS ends FROM {p}v),
 {p}k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM {p}b),
 {p}c AS (SELECT r, any_value(doc_id) AS doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM {p}k GROUP BY r, k),
 {p}m AS (SELECT *, lines > 1 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AS counts FROM {p}c),

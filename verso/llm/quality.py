@@ -12,7 +12,10 @@ whose crc32(id) modulo ``HELD_OUT`` is 0 are never used. Scoring reads every lin
 without a shuffle; the model, some forty numbers, travels with the task.
 
 A null text is the empty text, which is scored like any other (one empty line). If a class has no training
-documents, every document gets the share of label 1 among the labels, or 0.5 without labels.
+documents, every document gets the share of label 1 among the labels, or 0.5 without labels. Rows are scored by
+their text alone, so that ids may repeat or be null and equal texts have equal scores; of several labels of an id
+the larger counts, of several training texts of an id the smallest. Other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -64,8 +67,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         short = np.minimum(length, 8).astype(np.uint64)
         mask = np.where(short >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (short * np.uint64(8) % np.uint64(64))) - np.uint64(1))
         mark = (head & mask) ^ (length.astype(np.uint64) << np.uint64(50))
-        same = mark[1:] == mark[:-1]
-        repeats[first[1:][same]] = 1
+        # A word repeats the one before it in its line.
+        same = np.flatnonzero(mark[1:] == mark[:-1])
+        same = same[np.searchsorted(ends, first[same]) == np.searchsorted(ends, first[same + 1])]
+        repeats[first[same + 1]] = 1
     n = np.maximum(words, 1)
     out = np.stack(
         [
@@ -234,8 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         part = usable.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most twice TRAIN_DOCS rows are broadcast, and that many arrays come to the driver.
-    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text", F.xxhash64("text").alias("h"), "id")
-    sample = sample.dropDuplicates(["id"]) if len(shares) == 2 else sample.limit(0)
+    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text", "id")
+    sample = sample.groupBy("id").agg(F.min("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")) if len(shares) == 2 else sample.limit(0)
     rows = map_columns(sample.select("label", "text"), "label int, inputs array<double>, size array<double>, runs array<int>", _sample).collect()
     rows.sort(key=lambda r: (r.label, len(r.size), r.inputs[: 1 + FEATURES]))
     found = {r.label for r in rows}

@@ -4,10 +4,14 @@ A payload is a text's UTF-8 bytes, filled up with zero bytes to a positive multi
 a mono 8-bit WAV file (one byte is one sample, so nothing is lost), read back by the ``wave`` module and
 checked by digests of what was read. A short-time Fourier transform of the samples gives, in each of
 several frequency bands, the peaks that are not below their neighbours in time; every peak is paired with
-the next few, and a pair is one 64-bit number: time, first and second frequency, time between.
+the next few, and a pair is one 64-bit number: time, first and second frequency, time between. A gap of silence
+between two peaks can be any number of frames; from ``LONGEST`` on it is written as that, which no shorter gap is.
 
 Everything happens in one pass over the rows, without a shuffle; a very long payload is transformed in
-blocks of frames, so that memory does not depend on the transform. A null text is the empty text.
+blocks of frames, so that memory does not depend on the transform. A null text is the empty text, whose payload is
+64 zero bytes. Every row is treated by itself, so ids may repeat or be null, and equal texts have equal media and
+fingerprints; ids are numbers (or text that casts to bigint). Of equally loud bins in a band the lowest is the peak;
+of equally loud neighbouring frames the first.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .common import map_columns
 BLOCK = 64
 RATE, FRAME, HOP, FRAMES_AT_ONCE = 8000, 128, 64, 1 << 14
 #: Frequency bins [from, to) in which peaks are sought, and the number of later peaks that a peak is paired with.
-BANDS, FAN = ((1, 12), (12, 32), (32, 65)), 2
+BANDS, FAN, LONGEST = ((1, 12), (12, 32), (32, 65)), 2, 0xFFFF
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -80,7 +84,7 @@ def fingerprints(samples: bytes) -> np.ndarray:
     found = []
     for ahead in range(1, FAN + 1):
         t1, t2 = times[:-ahead], times[ahead:]
-        gap = np.minimum(t2 - t1, 0xFFFF)
+        gap = np.minimum(t2 - t1, LONGEST)
         found.append((t1 << 32) | (bins[:-ahead] << 24) | (bins[ahead:] << 16) | gap)
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
@@ -113,7 +117,7 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", with
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
-    """The contract's digests; ``feature`` is the number of fingerprints and a hash of their array."""
+    """The contract's columns and the time-coded ``fingerprints``; ``feature`` is their number and a hash of them."""
     found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     feature = F.concat(F.size("fingerprints").cast("string"), F.lit(":"), F.lower(F.hex(F.xxhash64("fingerprints"))))
-    return found.withColumn("feature", feature).drop("fingerprints")
+    return found.withColumn("feature", feature)

@@ -8,8 +8,14 @@ of the ruled URLs. Everything is DataFrame functions; there is no Python in the
 Size bounds: URL characters are folded to at most 34 symbols, so that a model has at most 34**3 rows
 whatever the number of URLs. Only tables with that bound are broadcast.
 
+Variable order means that contexts of two, one and no characters are mixed, each by how much was seen after it,
+so that a context that training lacks falls back to the shorter one.
+
 Null or malformed URLs have an empty host and path; they match no rule and are judged as the empty
-string. If the rules leave one of the classes without training URLs, the method allows everything.
+string. If the rules leave one of the classes without training URLs, the method allows everything. Rows that
+repeat an id or a URL are judged alike, one row each; of thresholds that separate the held-out URLs equally
+well the one nearest to 0 counts, of two such the larger. A URL of any length is scored whole, in time in
+proportion to its length. ``key`` may have any type; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, let
 
 #: Fixed values: (host, path, verdict) of the contract.
 RULES = (
@@ -62,9 +68,11 @@ def folded(text: Column) -> Column:
 
 
 def grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """A row for each character with its two predecessors, counted within each row first."""
-    starts = F.sequence(F.lit(1), F.length(text) - 2)
-    return df.select(*keep, F.explode(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(3)))).alias("g"))
+    """A row for each character with its two predecessors; a text is cut into its characters once."""
+    split = let(df.select(*keep, text), "gram_signs", F.split(text, ""))
+    sign = lambda i: F.get(F.col("gram_signs"), i)
+    places = F.sequence(F.lit(0), F.size("gram_signs") - 3)
+    return split.select(*keep, F.explode(F.transform(places, lambda i: F.concat(sign(i), sign(i + 1), sign(i + 2)))).alias("g"))
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -103,16 +111,19 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=
     base = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select(key, "host", "path", name.alias("rule"), verdict.alias("ruled"), folded(F.concat("host", "path")).alias("s"), (fold(key, CALIBRATION_FOLD) == 0).alias("held"))
+    # Characters' rows carry a hash of their URL, whatever its length.
+    base = base.withColumn("u", F.unhex(F.md5("s")))
     training = ~F.col("held")
-    per_url = base.groupBy("s").agg(
+    per_url = base.groupBy("u").agg(
+        F.min("s").alias("s"),
         *[F.sum(((F.col("ruled") == c) & training).cast("long")).alias(c) for c in ("block", "allow")],
         *[F.sum(((F.col("ruled") == c) & F.col("held")).cast("long")).alias(f"held_{c}") for c in ("block", "allow")],
-    ).select("s", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("block", "allow", "held_block", "held_allow")])
+    ).select("u", "s", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("block", "allow", "held_block", "held_allow")])
     counts = grams(per_url, "s", "block", "allow").groupBy("g").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     scores = (
-        grams(per_url, "s", "s", "block", "allow", "held_block", "held_allow")
+        grams(per_url, "s", "u", "block", "allow", "held_block", "held_allow")
         .join(F.broadcast(model(counts)), "g")
-        .groupBy("s", "block", "allow", "held_block", "held_allow")
+        .groupBy("u", "block", "allow", "held_block", "held_allow")
         .agg(F.avg("llr").alias("score"))
     )
     step = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.ceil(F.round(F.col("score") / STEP, 6)))).cast("int")
@@ -127,9 +138,9 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=
     )
     # One row: the threshold, null where there is nothing to compare with.
     limit = threshold.select(F.when(F.col("ready"), F.col("cut")).alias("cut")).scalar()
-    judged = scores.select("s", F.coalesce(step > limit, F.lit(False)).alias("bad"))
+    judged = scores.select("u", F.coalesce(step > limit, F.lit(False)).alias("bad"))
     method = F.when(F.col("bad"), "block").otherwise("allow")
-    return base.join(judged, "s", "left").select(key, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
+    return base.join(judged, "u", "left").select(key, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
 
 
 ORACLE = r"""

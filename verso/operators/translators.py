@@ -72,6 +72,19 @@ def identity_translator() -> MarkedTranslator:
     return MarkedTranslator(lambda t: t)
 
 
+@dataclass(frozen=True)
+class RefusingTranslator:
+    """Fails on prompts that contain a word, else answers as ``inner`` does."""
+
+    inner: Translator
+    word: str
+
+    def complete(self, system: str, messages: list[dict]) -> Result:
+        if self.word in messages[-1]["content"]:
+            raise TranslationError("RequestFailed", f"refused: {self.word}")
+        return self.inner.complete(system, messages)
+
+
 Transport = Callable[[str, dict, bytes, float], tuple[int, str]]
 
 

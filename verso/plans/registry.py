@@ -456,11 +456,11 @@ def greetings(spark, sf_dir):
 LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 
 
-@query("WITH " + LINES + " SELECT doc_id, i AS seg_idx, '[TRANSLATED] ' || regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS translation, NULL::VARCHAR AS error FROM ln WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> ''")
+@query("WITH " + LINES + " SELECT doc_id, i AS seg_idx, CASE WHEN NOT contains(t, '***') THEN '[TRANSLATED] ' || regexp_replace(t, '^\\s+|\\s+$', '', 'g') END AS translation, CASE WHEN contains(t, '***') THEN 'refused: ***' END AS error FROM ln WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> ''")
 def batch_translation(spark, sf_dir):
-    """Every non-blank line of every document through batches, prompts, a model and the parser."""
+    """Every non-blank line of every document through batches, prompts, a model that refuses some, halving and the parser."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seg_idx", "text")).filter(~text.is_blank(F.col("text")))
-    done = translators.run_batches(flows.work_batches(lines), translators.prefix_translator(), "en", "de")
+    done = translators.run_batches(flows.work_batches(lines), translators.RefusingTranslator(translators.prefix_translator(), "***"), "en", "de")
     return done.select("doc_id", "seg_idx", "translation", "error")
 
 
@@ -470,16 +470,19 @@ def progress_table(spark, sf_dir):
     return sinks.progress(plan.select("doc_id", "batch_idx", "n_segments", F.lit(1).alias("attempts"), F.lit(1).alias("successes")))
 
 
-@query()
+@query(
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS seg_idx, text FROM (SELECT doc_id, i, generate_subscripts(p, 1) AS j, trim(unnest(p)) AS text FROM "
+    "(SELECT doc_id, i, regexp_split_to_array(line, '\\*+') AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))) WHERE text <> ''"
+)
 def markdown_segments(spark, sf_dir):
-    """Segments of every document read as Markdown; the scanner is held against its rules in the tests."""
+    """Segments of every document read as Markdown. The table's texts are prose with stars as their only marks, which the SQL relies on; other marks are in the tests."""
     found = markdown.scan_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.posexplode("segments").alias("seg_idx", "text"))
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(text, ' *(\\*+) *', '\\1', 'g') AS text FROM documents")
 def markdown_roundtrip(spark, sf_dir):
-    """Every document read as Markdown and written again with its own segments."""
+    """Every document read as Markdown and written again with its own segments, which are trimmed beside marks."""
     found = markdown.scan_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", markdown.render(F.col("marked"), F.col("segments"), F.col("segments"), F.col("code_spans")).alias("text"))
 
@@ -543,9 +546,29 @@ def simple_span_groups(spark, sf_dir):
     return spans.simple_groups(_spans(spark, sf_dir), reach=15.0).select("doc_id", "page", F.col("grp").cast("bigint").alias("grp"), "text")
 
 
-@query()
+THRESHOLDS = """, gp AS (SELECT doc_id, lag(y) OVER w - y AS gap, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND regexp_replace(lag(text) OVER w, '^\\s+|\\s+$', '', 'g') <> '' AS both_ FROM sp WINDOW w AS (PARTITION BY doc_id, page ORDER BY span_idx)),
+bn AS (SELECT doc_id, round(gap * 10::FLOAT)::INT AS bin, count(*) AS n FROM gp WHERE both_ AND gap > 1 AND gap < 200 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, bin) AS r FROM bn),
+tp AS (SELECT doc_id, max(bin) FILTER (WHERE r = 1) / 10.0 AS a, max(bin) FILTER (WHERE r = 2) / 10.0 AS b FROM rk WHERE r <= 2 GROUP BY doc_id),
+th AS (SELECT doc_id, (CASE WHEN a IS NULL THEN 25 ELSE greatest((a + coalesce(b, a * 1.8)) / 2, 18) END)::DOUBLE AS threshold FROM (SELECT DISTINCT doc_id FROM sp) LEFT JOIN tp USING (doc_id))"""
+
+
+@query(
+    SPANS.replace("WITH", "WITH RECURSIVE", 1)
+    + THRESHOLDS
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, span_idx) AS ord FROM nb),
+ch AS (SELECT *, coalesce((is_monospace <> lag(is_monospace) OVER (PARTITION BY doc_id, page ORDER BY ord))::INT, 0) AS change FROM o),
+isl AS (SELECT *, (sum(change) OVER (PARTITION BY doc_id, page ORDER BY ord))::INT AS island FROM ch),
+tx AS (SELECT isl.*, threshold, row_number() OVER (PARTITION BY doc_id, page, island ORDER BY ord) AS k FROM isl JOIN th USING (doc_id) WHERE NOT is_monospace),
+gr AS (SELECT doc_id, page, island, k, 0 AS grp, text AS acc, font_size AS font, y FROM tx WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page, island, k, CASE WHEN breaks THEN grp + 1 ELSE grp END, CASE WHEN breaks THEN text ELSE acc || ' ' || text END, CASE WHEN breaks THEN font_size ELSE greatest(font, font_size) END, y
+  FROM (SELECT tx.*, grp, acc, font, CASE WHEN tx.y > gr.y THEN tx.y - gr.y > 1000 OR regexp_matches(acc, '[.!?]\\s*$') ELSE gr.y - tx.y > threshold OR abs(font_size - font) > 4 END AS breaks FROM gr JOIN tx ON tx.doc_id = gr.doc_id AND tx.page = gr.page AND tx.island = gr.island AND tx.k = gr.k + 1))
+SELECT doc_id, page, island, grp AS "group", regexp_replace(arg_max(acc, k), '^\\s+|\\s+$', '', 'g') AS text, arg_max(font, k) AS font_size, CASE WHEN arg_max(font, k) > 14 THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN arg_max(font, k) > 18 THEN 1 WHEN arg_max(font, k) > 16 THEN 2 WHEN arg_max(font, k) > 14 THEN 3 END AS level FROM gr GROUP BY doc_id, page, island, grp"""
+)
 def span_groups(spark, sf_dir):
-    """Text groups of every page; a fold over each page's lines, held against brute force in the tests."""
+    """Text groups of every page, folded line by line."""
     return spans.group_spans(_spans(spark, sf_dir)).select("doc_id", "page", "island", "group", "text", "font_size", F.col("meta.kind").alias("kind"), F.col("meta.level").alias("level"))
 
 

@@ -2,13 +2,12 @@
 
 import io
 import json
-import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from verso.operators import history, html_segments, translators
+from verso.operators import history, translators
 from verso.plans import flows
 from verso.sources import config, files, sinks
 from verso.streaming import incremental

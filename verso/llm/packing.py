@@ -5,12 +5,16 @@
 2. The pieces are dealt evenly to partitions of about ``GROUP`` rows, each packed by best-fit decreasing.
    Dual feasible functions give a lower bound on each partition's number of sequences; a partition that
    meets its bound is certified optimal and is never touched again.
-3. Partitions above their bound give up the documents of their open sequences. These are dealt anew,
-   whole sequences together, and packed again; the new packing holds where it needs fewer sequences. This
-   goes on until no partition gains or the bounds are met.
+3. Partitions above their bound give up the documents of their open sequences, and every partition gives up
+   the one sequence that may be half empty (its bound is rounded up for that one). These are dealt anew, whole
+   sequences together, and packed again; the new packing holds where it needs fewer sequences. This goes on
+   until a round saves no sequence or the bound over all pieces is met.
+4. Every row tells how many sequences there are and the bound over all pieces together, which needs only the
+   number of pieces of each length.
 
 A null text is the empty text. Every document has at least one token, the closing id, so that every row
-gives at least one piece. Ids may repeat or be null; pieces are rows, never joined by id.
+gives at least one piece. Ids may repeat or be null; pieces are rows, never joined by id. Ids are numbers (or text
+that casts to bigint). A text of any length is encoded in one task and cut into pieces there.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ from .common import cut, map_columns
 CAPACITY, END_ID = 2048, 0
 #: Pieces packed together by one task, a few MB.
 GROUP = 50_000
-ROUNDS = 3
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+#: Distinct words that a worker remembers, twice: those met lately and those before them.
+CACHE_WORDS = 150_000
 
 #: The characters with the Unicode property White_Space, which is what the vocabulary's splitter means by white space.
 _WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -43,6 +46,23 @@ _RUNS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+\\Z")
 _IRREGULAR = re.compile(f"[{_WHITE}][{_WHITE}]|[{_RARE}]|[\n ]\\Z")
 
 
+class Remembered(dict):
+    """Values by word, made when first asked for; what was not asked for lately is forgotten."""
+
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
+        return value
+
+
 class WordEncoder:
     """Ids of texts, encoding each distinct word once.
 
@@ -50,8 +70,8 @@ class WordEncoder:
     falls into words (white space, then other characters) whose ids do not depend on each other.
 
     The vocabulary is read by ``tokenizers``. In a byte-level vocabulary ids are merge ranks, so that
-    ``tiktoken`` finds the same ids of a new word in a fraction of the time; words with a special token's
-    string, and vocabularies whose ids are no ranks, go to ``tokenizers`` itself.
+    ``tiktoken`` finds the same ids of a new word in a fraction of the time (a test holds them equal); words
+    with a special token's string, and vocabularies whose ids are no ranks, go to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,9 +79,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hard = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.fast = self._ranks()
+        # Words as they are, and words that stand for themselves after a space (or begin with a line end).
+        self.whole = Remembered(self._new)
+        self.spaced = Remembered(lambda word: self._new(word if word[:1] == "\n" else " " + word))
 
     def _ranks(self):
         """The vocabulary as byte ranks, if its model is a plain byte-level one."""
@@ -81,31 +104,18 @@ class WordEncoder:
             return None
         return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _new(self, words: list[str]) -> list[list[int]]:
-        if self.fast is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return [self.tokenizer.encode(w, add_special_tokens=False).ids if any(x in w for x in self.special) else self.fast(w) for w in words]
-
-    def words(self, text: str) -> list[str]:
-        if _IRREGULAR.search(text):
-            return _RUNS.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
+    def _new(self, word: str) -> bytes:
+        ids = self.fast(word) if self.fast is not None and not self.hard.search(word) else self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            words = self.words(text)
-            found = list(map(self.ids.get, words))
-            if None in found:
-                missing = list({w for w, i in zip(words, found, strict=True) if i is None})
-                if len(self.ids) + len(missing) > CACHE_WORDS:
-                    self.ids.clear()
-                    missing = list(set(words))
-                for w, found in zip(missing, self._new(missing), strict=True):
-                    self.ids[w] = struct.pack(f"<{len(found)}I", *found)
-                found = [self.ids[w] for w in words]
-            yield b"".join(found)
+            if _IRREGULAR.search(text):
+                yield b"".join(map(self.whole.__getitem__, _RUNS.findall(text)))
+            else:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                yield self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -131,14 +141,17 @@ def _pieces(path: str, capacity: int):
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of two families of dual feasible functions, over all their parameters.
+    """A number of bins that the sizes need at least."""
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity) if len(sizes) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The best of two families of dual feasible functions, over all their parameters; ``count``: of each size.
 
     The first drops what is smaller than k and fills up what is larger than the capacity less k; the
     second rounds to multiples of a k-th.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = count.astype(np.int64)
     total = np.cumsum(count * np.arange(capacity + 1))
     number = np.cumsum(count)
     k = np.arange(0, capacity // 2 + 1)
@@ -222,29 +235,40 @@ def _pack(round_number: int, capacity: int):
     return work
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", exchange: bool = True) -> DataFrame:
     """Pieces of all documents with their place: ``PIECE``'s columns, ``sequence_id`` and ``offset``.
 
-    ``filled`` is the sequence's length and ``gap`` the sequences that its partition has above its bound.
+    ``filled`` is the sequence's length, ``gap`` the sequences that its partition has above its bound, ``sequences``
+    the number of all sequences and ``least_sequences`` the number that no packing goes below.
     """
     pieces = cut(map_columns(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), PIECE, _pieces(tokenizer, capacity)))
-    parts = -(-max(1, pieces.count()) // GROUP)
-    packed = cut(map_columns(pieces.repartition(parts), PACKED, _pack(0, capacity)))
-    done: list[DataFrame] = []
-    gap_before = None
-    for n in range(1, ROUNDS + 1):
-        open_rows = packed.filter((F.col("gap") > 0) & (F.col("filled") < capacity))
-        rows, gap, groups = open_rows.agg(F.count("*"), F.sum(F.col("gap") / F.col("filled")), F.countDistinct(F.shiftright("sequence_id", 32))).first()
-        if not rows or groups < 2 or (gap_before is not None and rows >= gap_before):
+    # At most one row for each length.
+    lengths = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
+        lengths[r.length] = r.n
+    least = bound_of_counts(lengths, capacity)
+    packed = cut(map_columns(pieces.repartition(-(-max(1, int(lengths.sum())) // GROUP)), PACKED, _pack(0, capacity)))
+    open_ = ((F.col("gap") > 0) & (F.col("filled") < capacity)) | (F.col("filled") * 2 <= capacity)
+    number = lambda rows: rows.filter("offset = 0").count()
+    done, settled, turn = [], 0, 0
+    current = number(packed)
+    while exchange and settled + current > least:
+        turn += 1
+        rows, groups = packed.filter(open_).agg(F.count("*"), F.countDistinct(F.shiftright("sequence_id", 32))).first()
+        if groups < 2:
+            break
+        closed = packed.filter(~open_)
+        done.append(closed)
+        before = current - number(closed)
+        settled += current - before
+        dealt = packed.filter(open_).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id").repartition(-(-rows // GROUP), F.xxhash64("sequence_id", F.lit(turn)))
+        packed = cut(map_columns(dealt, PACKED, _pack(turn, capacity)))
+        current = number(packed)
+        if current >= before:
             break
-        gap_before = rows
-        done.append(packed.filter(~((F.col("gap") > 0) & (F.col("filled") < capacity))))
-        parts = -(-rows // GROUP)
-        dealt = open_rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id").repartition(parts, F.xxhash64("sequence_id", F.lit(n)))
-        packed = cut(map_columns(dealt, PACKED, _pack(n, capacity)))
     for other in done:
         packed = packed.unionByName(other)
-    return packed
+    return packed.withColumns({"sequences": F.lit(settled + current).cast("bigint"), "least_sequences": F.lit(least).cast("bigint")})
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

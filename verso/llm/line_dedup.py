@@ -50,7 +50,7 @@ def _chunked(docs: DataFrame, text: str, to: str) -> DataFrame:
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(F.col(last), F.greatest(k - 1, F.lit(0))) + 1)
     out = let(out, f"{to}_plain", F.transform(last, lambda e, k: F.struct(F.array_join(F.slice(F.col(lines), start(k) + 1, e - start(k) + 1), NEWLINE).alias("text"), (e - start(k) + 1).alias("lines"))))
     counts = lambda c: (c["lines"] > 1) & c["text"].rlike(r"[^\x20\x09-\x0D]")
-    named = F.transform(f"{to}_plain", lambda c: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), F.when(counts(c), F.md5(c["text"])).alias("name")))
+    named = F.transform(f"{to}_plain", lambda c: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), F.when(counts(c), F.unhex(F.md5(c["text"]))).alias("name")))
     return let(out, to, named).drop(lines, last, f"{to}_plain")
 
 
@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     id_, parts, gone, first, own = (fresh(docs, x) for x in ("chunk_id", "chunk_parts", "chunk_gone", "chunk_first", "chunk_own"))
     base = _chunked(docs.select(F.col(key).alias(id_), F.col(text)), text, parts)
     rows = base.select(id_, F.explode(parts).alias("c")).select(id_, F.col("c.name").alias("name"), F.col("c.text").alias("chunk")).filter("name is not null")
-    groups = rows.groupBy("name", "chunk").agg(F.min(id_).alias(first), F.max(id_).alias("high"), F.count("*").alias("n"), F.count(id_).alias("ids"))
+    # A chunk's bytes are its group; its name is made again behind the shuffle.
+    groups = rows.groupBy("chunk").agg(F.min(id_).alias(first), F.max(id_).alias("high"), F.count("*").alias("n"), F.count(id_).alias("ids")).withColumn("name", F.unhex(F.md5("chunk")))
     names = groups.groupBy("name").agg(F.count("*").alias("texts"), F.min(first).alias(first), F.max("n").alias("n"), F.max("high").alias("high"), F.max("ids").alias("ids"))
     # Repetition within one row needs no table: it is found in the row itself.
     repeated = names.filter(f"texts = 1 and n > 1 and ids > 0 and (high <> {first} or n > ids)").select("name", first)
@@ -67,8 +68,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     removal = members.groupBy(F.col(id_).alias(own)).agg(F.collect_set("name").alias(gone))
     whole = _chunked(docs, text, parts).join(removal, F.col(key).eqNullSafe(F.col(own)), "left")
     marks = F.concat(
-        F.transform(parts, lambda c, k: F.struct(F.coalesce(c["name"], F.concat(F.lit("#"), k.cast("string"))).alias("name"), k.alias("k"))),
-        F.coalesce(F.transform(gone, lambda n: F.struct(n.alias("name"), F.lit(-1).alias("k"))), F.array().cast("array<struct<name:string,k:int>>")),
+        F.transform(parts, lambda c, k: F.struct(F.coalesce(c["name"], F.concat(F.lit("#"), k.cast("string")).cast("binary")).alias("name"), k.alias("k"))),
+        F.coalesce(F.transform(gone, lambda n: F.struct(n.alias("name"), F.lit(-1).alias("k"))), F.array().cast("array<struct<name:binary,k:int>>")),
     )
     # After sorting, a name's first mark is its removal if there is one, else its first place.
     stay = fresh(docs, "chunk_stay")

@@ -1,5 +1,6 @@
 """Near-duplicate classes against brute force over all pairs."""
 
+import functools
 import random
 from collections import Counter
 
@@ -19,19 +20,21 @@ def lcs(a, b):
     return row[-1]
 
 
+@functools.cache
+def sketches(text):
+    words = text.lower().split()
+    return set(near_dup.sketch(near_dup.labelled(near_dup.shingles(near_dup.word_hashes(words)))).tolist()) if len(words) >= 5 else set()
+
+
+def aligned(a, b):
+    n = lcs(a, b)
+    return n >= 0.8 * (len(a) + len(b) - n)
+
+
 def brute_link(s, t):
+    """Equal words, or a sketch in common and words that align."""
     a, b = s.lower().split(), t.lower().split()
-    if not a or not b:
-        return a == b
-    x = [tuple(a[i : i + 5]) for i in range(max(1, len(a) - 4))]
-    y = [tuple(b[i : i + 5]) for i in range(max(1, len(b) - 4))]
-    most = sum((Counter(x) & Counter(y)).values())
-    if most < 0.8 * (len(x) + len(y) - most):
-        return False
-    if x == y:
-        return True
-    n = lcs(x, y)
-    return n >= 0.8 * (len(x) + len(y) - n)
+    return a == b or bool(sketches(s) & sketches(t)) and aligned(a, b)
 
 
 def brute_classes(rows):
@@ -58,13 +61,41 @@ def test_alignment_equals_brute_force():
         assert near_dup.common_subsequence(a, b, 100) == lcs(a.tolist(), b.tolist())
     for _ in range(300):
         words = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 120))]
-        other = [w if rng.random() > 0.02 else "z" for w in words]
+        other = [w if rng.random() > 0.1 else "z" for w in words]
         if rng.random() < 0.3:
             k = rng.randrange(len(words))
             other = other[:k] + other[k + rng.randrange(4) :]
-        a, b = near_dup.shingles(words), near_dup.shingles(other)
-        if len(other):
-            assert near_dup.linked(a, b) == brute_link(" ".join(words), " ".join(other))
+        if other:
+            assert near_dup.linked(near_dup.word_hashes(words), near_dup.word_hashes(other)) == aligned(words, other)
+
+
+def shingle_similarity(a, b):
+    x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+    both = sum((x & y).values())
+    return both / (sum(x.values()) + sum(y.values()) - both)
+
+
+def test_recall_by_share_of_changed_words():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for rate, least in ((0.01, 1.0), (0.02, 0.99), (0.03, 0.97), (0.04, 0.93), (0.05, 0.9)):
+        found = 0
+        for _ in range(200):
+            base = [word() for _ in range(200)]
+            other = list(base)
+            for k in rng.sample(range(200), round(200 * rate)):
+                other[k] = word()
+            found += brute_link(" ".join(base), " ".join(other))
+        assert found >= 200 * least, (rate, found)
+    # Short texts whose shingles are similar by 0.8 agree in a sketch, too.
+    for n in (9, 10, 14, 24, 40, 50, 60):
+        missed = 0
+        for _ in range(200):
+            base = [word() for _ in range(n)]
+            other = base[: n - max(1, (n - 4) // 5)]
+            assert shingle_similarity(base, other) >= 0.79
+            missed += not brute_link(" ".join(base), " ".join(other))
+        assert not missed, n
 
 
 def corpus(seed=7):
@@ -101,6 +132,8 @@ def test_hard_rows(spark):
     docs = hard_docs(spark)
     rows = near_dup.near_classes(docs).collect()
     assert len(rows) == docs.count()
+    # A text that only a row without id has is alone; a null id with a text of row 6 belongs to the class of all texts with its words.
+    assert {(r.class_id, r.class_size, r.kept) for r in rows if r.doc_id is None} == {(None, 1, True), (5, 4, False)}
     assert {r.class_id for r in rows if r.doc_id in (0, 1, 2, 3)} == {0}
     assert near_dup.near_classes(empty_docs(spark)).count() == 0
 
@@ -112,19 +145,52 @@ def test_components_of_long_chains_and_hubs(spark):
 
 
 def test_large_group_of_mutual_copies(spark, monkeypatch):
-    """Copies whose pairs are partly links, with every way of ending the rounds."""
+    """Copies whose pairs are partly links, with blocks of every size."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     base = [word() for _ in range(120)]
     rows = []
     for k in range(60):
         copy = list(base)
-        for _ in range(rng.randrange(1, 4)):
-            copy[rng.randrange(120)] = word()
+        for j in rng.sample(range(120), rng.randrange(4, 9)):
+            copy[j] = word()
         rows.append((k, " ".join(copy)))
     expected = brute_classes(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for few, block in ((0, 256), (10**9, 7)):
-        monkeypatch.setattr(near_dup, "FEW_PAIRS", few)
+    for block in (256, 7):
         monkeypatch.setattr(near_dup, "BLOCK_NODES", block)
         assert {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()} == expected
+
+
+def test_common_matter_makes_no_pairs(spark, monkeypatch):
+    """Texts that share two thirds and nothing else agree in sketches; none is compared in full, links among them are found."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(100)]
+    rows = [(k, " ".join([*shared, *[word() for _ in range(50)]])) for k in range(80)]
+    rows += [(100 + k, rows[k][1] + " " + word()) for k in (3, 50, 51)]
+    made = []
+    blocks = near_dup._rare_words
+    monkeypatch.setattr(near_dup, "_rare_words", lambda *a: made.append(blocks(*a)) or made[-1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()} == brute_classes(rows)
+    assert all(m.count() <= 6 for m in made)
+
+
+def test_rows_that_stay(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(2, text, "a"), (1, text + " more", "b"), (1, text + " more", "c"), (None, text, "d"), (None, "lone text", "e"), (None, "lone  TEXT", "f"), (None, "other", "g"), (9, "short", "h"), (9, "other words", "i"), (10, "Short", "j")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, near_id string, words int")
+    out = near_dup.drop_near(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.near_id) for r in out.collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(1, "b"), (1, "c"), (9, "h"), (9, "i")]
+    assert len([x for x in got if x[0] is None]) == 2 and (None, "g") in got
+
+
+def test_op9_query_on_the_whole_table(spark):
+    """The registered query: a row for each document, classes as brute force finds them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = brute_classes(sorted((r.doc_id, r.text) for r in docs.collect()))
+    got = near_dup.op9_near_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.class_id for r in got} == expected and all(r.kept == (r.doc_id == r.class_id) for r in got)

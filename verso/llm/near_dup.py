@@ -1,14 +1,17 @@
 """Near-duplicate classes by Order MinHash, with candidates verified by banded alignment.
 
-Documents are sequences of lower-cased words; their items are five-word shingles, labelled by occurrence
-so that a repeated shingle counts as often as it occurs. For each of ``SKETCHES`` hash functions a document
-keeps its ``ORDER`` smallest items in the order in which they stand in the text. Two documents that agree
-in a whole sketch are candidates; a pair with similarity 0.8 agrees in a given sketch with probability
-0.8**4 and in none of twenty with less than 0.00003.
-
-A pair is a link if the longest common subsequence of its items, L, gives L / (n1 + n2 - L) >= 0.8. A pair
-that reaches this leaves at most a ninth of its items unaligned, so that the alignment may be banded
-without loss; cheap exact bounds (lengths, common items) come first.
+Documents are sequences of lower-cased words. Their items are five-word shingles, labelled by occurrence so that a
+repeated shingle counts as often as it occurs. For each of ``SKETCHES`` hash functions a document keeps its
+``ORDER`` smallest items in the order in which they stand in the text; texts of at most ``SHORT`` items keep
+``SHORT_ORDER`` items, and those of up to a quarter more keep both kinds, so that texts of like length always
+have a kind in common. Two documents that agree in a whole sketch are candidates.
+
+A pair is a link if the longest common subsequence of its words, L, gives L / (n1 + n2 - L) >= 0.8, the share of
+words that both have in the same order. A pair that reaches this leaves at most a ninth of its words unaligned,
+so that the alignment may be banded without loss; cheap exact bounds (lengths, common words) come first. One
+changed word spoils five shingles, so the alignment is of words; a pair whose shingles are similar by 0.8 agrees in
+no sketch with probability 0.00003 at most, and of pairs of 200 words with 1, 2, 3, 4, 5 % of their words
+replaced a test finds 1, 1, 0.98, 0.95 and 0.9 at least.
 
 Classes are the connected components of the links:
 
@@ -16,13 +19,19 @@ Classes are the connected components of the links:
 2. In every bucket of equal sketches each node is compared with the bucket's first node. A bucket of n
    nodes costs n - 1 comparisons, however many of its pairs are links.
 3. In buckets whose nodes are then still in different components, another node, chosen by hash for each
-   bucket, is compared with those of other components; this is repeated while it joins components. What is
-   then left is compared in full across components, block by block, so that a link which passes through no
-   chosen node is found as well. Pairs are compared inside a task and are never rows; only links leave it.
-4. Components are labelled by rounds of large-star and small-star joins over tables in the shared folder.
-
-Texts with fewer than five words have one item, the text itself. Texts without words are one class. Nulls
-count as empty texts. Rows that repeat an id are one document.
+   bucket, is compared with those of other components; this is repeated while more pairs than nodes are left and
+   it halves them.
+4. What is left is compared in full across components. Nodes that are similar by 0.8 share one of the rarest
+   fifth of their words (counted, in a table of fixed size, among the nodes that are left), so that only nodes with
+   such a word in common stay; texts that share much common matter but little else go here, however many they are. The others are
+   compared block by block inside tasks; pairs are never rows, only links leave a task.
+5. Components are labelled by rounds of large-star and small-star joins over tables in the shared folder.
+
+Texts with fewer than five words have one item, the text itself. Texts without words are one class. Nulls count as
+empty texts. Ids are numbers (or text that casts to bigint). Rows that repeat an id are one document, whose class
+is that of any of its texts and whose words, where they differ, are those of its smallest text. Rows with a null
+id belong to the class of their text's copies that have an id; without such, equal texts of null ids are a class
+with a null ``class_id`` and are compared with no other text.
 """
 
 from __future__ import annotations
@@ -30,17 +39,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns
+from .common import cut, fresh, map_columns
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, ORDER = 20, 4
-#: Rounds of chosen nodes before all pairs across components are compared, and how few pairs end them early.
-ROUNDS, FEW_PAIRS = 8, 20_000
+SKETCHES, ORDER, SHORT, SHORT_ORDER = 20, 4, 40, 2
 #: Nodes of a bucket in one block of the full comparison.
 BLOCK_NODES = 256
+#: Bits of the places at which words are counted.
+PLACES_BITS = 18
 #: Distinct words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 _rng = np.random.default_rng(20)
@@ -56,8 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """64-bit hashes of the shingles in the text's order, not labelled yet."""
+def word_hashes(words: list[str]) -> np.ndarray:
     if len(_known) > CACHE_WORDS:
         _known.clear()
     found = list(map(_known.get, words))
@@ -66,8 +74,12 @@ def shingles(words: list[str]) -> np.ndarray:
             if h is None:
                 w = words[k]
                 found[k] = _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    hashes = np.array(found, np.uint64)
-    n = len(words) - WORDS + 1
+    return np.array(found, np.uint64)
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles of words, in the text's order, not labelled yet."""
+    n = len(hashes) - WORDS + 1
     if n < 1:
         return _mix((hashes * _SHINGLE[: len(hashes)]).sum(keepdims=True)) if len(hashes) else np.zeros(0, np.uint64)
     total = hashes[:n] * _SHINGLE[0]
@@ -92,18 +104,21 @@ def labelled(items: np.ndarray) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """One signed 64-bit number for each hash function; none for an empty text."""
+    """One signed 64-bit number for each hash function and kind; none for an empty text."""
+    n = len(items)
+    kinds = [SHORT_ORDER] * (0 < n <= SHORT / SIMILARITY) + [ORDER] * (n > SHORT)
+    return np.concatenate([np.zeros(0, np.int64), *[_sketch(items, min(size, n)) for size in kinds]])
+
+
+def _sketch(items: np.ndarray, size: int) -> np.ndarray:
     n = len(items)
-    if not n:
-        return np.zeros(0, np.int64)
-    size = min(ORDER, n)
     chosen = np.empty((SKETCHES, size), np.int64)
     rows = max(1, min(SKETCHES, (1 << 18) // n))
     for k in range(0, SKETCHES, rows):
         values = _mix(items[None, :] ^ _SEED[k : k + rows, None])
         chosen[k : k + rows] = np.argpartition(values, size - 1, axis=1)[:, :size] if size < n else np.arange(n)
     chosen.sort(axis=1)
-    return _mix((items[chosen] * _PLACE[:size]).sum(axis=1) + _SEED).astype(np.int64)
+    return _mix((items[chosen] * _PLACE[:size]).sum(axis=1) + _SEED + _LABEL * np.uint64(size)).astype(np.int64)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -142,7 +157,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether two documents' items are similar enough, by exact bounds and then by alignment."""
+    """Whether two documents' words are similar enough, by exact bounds and then by alignment."""
     n, m = len(a), len(b)
     if not n or not m:
         return n == m
@@ -163,12 +178,12 @@ def _words(text: str | None) -> list[str]:
 
 
 def _describe(batches):
-    for ids, texts in batches:
-        out: list[list] = [[], [], [], []]
-        for identifier, text in zip(ids, texts, strict=True):
+    for ids, hashes, texts in batches:
+        out: list[list] = [[] for _ in range(5)]
+        for identifier, h, text in zip(ids, hashes, texts, strict=True):
             words = _words(text)
-            items = shingles(words)
-            row = (identifier, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), len(items), sketch(labelled(items)) if len(words) >= WORDS else [])
+            found = word_hashes(words)
+            row = (identifier, h, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), len(words), sketch(labelled(shingles(found))) if len(words) >= WORDS else [])
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         yield out
@@ -176,33 +191,65 @@ def _describe(batches):
 
 def _content(batches):
     for ids, texts in batches:
-        items = [shingles(_words(t)) for t in texts]
-        yield [ids, [x.tobytes() for x in items], [sketch(labelled(x)).tobytes() for x in items]]
+        yield [ids, [word_hashes(_words(t)).tobytes() for t in texts]]
+
+
+def _places(words: np.ndarray) -> np.ndarray:
+    return (_mix(words) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+
+
+def _frequencies(batches):
+    """How many nodes have the words of each place."""
+    total = np.zeros(1 << PLACES_BITS, np.int64)
+    for (items,) in batches:
+        for x in items:
+            np.add.at(total, _places(labelled(np.frombuffer(x, np.uint64))), 1)
+    at = np.flatnonzero(total)
+    yield [at.tolist(), total[at].tolist()]
+
+
+def rare_words(words: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest words that two similar nodes cannot both do without, less those that no other node has.
+
+    ``often``: for each place the number of nodes that have its words, which is no less than that of a word; with
+    the word itself it is an order that all nodes share.
+    """
+    mine = labelled(words)
+    count = often[_places(mine)]
+    n = len(mine)
+    first = np.lexsort((mine, count))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+    return mine[first[count[first] > 1]].view(np.int64)
 
 
 def _across(part: pd.DataFrame) -> pd.DataFrame:
     """Links between the components of one bucket's nodes: those of one block, or of two blocks with each other.
 
-    A pair that shares an earlier bucket is compared there. A link joins its components at once.
+    Only nodes that share a key are compared, each pair in the first bucket that both are in. A link joins its
+    components at once.
     """
     found: list[tuple[int, int]] = []
-    sketches = np.stack([np.frombuffer(x, np.int64) for x in part["sketches"]])
-    turn = int((sketches[0] == part["b"].iloc[0]).argmax())
     items = [np.frombuffer(x, np.uint64) for x in part["items"]]
-    rep, size, lead = part["rep"].to_numpy(), part["n"].to_numpy(), part["lead"].iloc[0]
+    rep, size = part["rep"].to_numpy(), part["n"].to_numpy()
     label, block = part["label"].to_numpy().copy(), part["block"].to_numpy()
-    whole = part["i"].iloc[0] == part["j"].iloc[0]
+    whole, here = part["i"].iloc[0] == part["j"].iloc[0], int(part["b"].iloc[0])
+    homes = [set(np.asarray(h).tolist()) for h in part["homes"]]
+    keys = np.concatenate([np.asarray(k, np.int64) for k in part["keys"]])
+    owner = np.repeat(np.arange(len(rep)), [len(k) for k in part["keys"]])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    first = np.searchsorted(keys, keys, side="left")
+    last = np.searchsorted(keys, keys, side="right")
+    of = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[of], np.arange(len(rep) + 1))
     for x in range(len(rep) - 1):
-        others = slice(x + 1, None)
-        ok = (label[others] != label[x]) & (np.minimum(size[others], size[x]) >= SIMILARITY * np.maximum(size[others], size[x]))
-        ok &= (rep[others] != lead) if rep[x] != lead else False
+        mine = of[bounds[x] : bounds[x + 1]]
+        near = np.unique(np.concatenate([np.zeros(0, np.int64), *[owner[first[k] : last[k]] for k in mine.tolist()]]))
+        near = near[near > x]
+        ok = (label[near] != label[x]) & (np.minimum(size[near], size[x]) >= SIMILARITY * np.maximum(size[near], size[x]))
         if not whole:
-            ok &= block[others] != block[x]
-        near = np.flatnonzero(ok) + x + 1
-        if turn and len(near):
-            near = near[~(sketches[near, :turn] == sketches[x, :turn]).any(axis=1)]
-        for y in near.tolist():
-            if label[y] != label[x] and linked(items[x], items[y]):
+            ok &= block[near] != block[x]
+        for y in near[ok].tolist():
+            if label[y] != label[x] and min(homes[x] & homes[y]) == here and linked(items[x], items[y]):
                 found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
                 label[label == label[y]] = label[x]
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -218,39 +265,54 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node`` and ``label`` (the component's smallest node) of every node of ``edges`` (u, v).
 
     Each round points every node's larger neighbours, then its smaller ones, to the smallest node that it
-    knows; the edges become stars. No neighbour list is ever collected, only minima.
+    knows, until the edges are stars. No neighbour list is ever collected, only minima; a round is one query and
+    one written table.
     """
     current = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
     for _ in range(rounds):
+        # In stars every node has one edge to a smaller node or none, and no node has edges of both kinds.
+        sides = current.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(current.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1").isEmpty():
+            return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large, current)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = cut(small, large)
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        current = cut(small, current)
+    raise RuntimeError("components did not settle")
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``class_id`` (smallest id of the class), ``class_size`` (rows) and ``kept`` of every row."""
-    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    described = cut(map_columns(source, "id bigint, words binary, n int, sketches array<bigint>", _describe))
+def _rare_words(nodes: DataFrame, content: DataFrame) -> DataFrame:
+    """``rep`` and ``keys`` of nodes (``rep``, ``label``) that share a word of their rarest fifth across components.
+
+    Words are labelled by occurrence and ordered by how many nodes have them, estimated from above by a table of
+    fixed size. Two nodes that are similar by ``SIMILARITY`` cannot both have all common words after these first ones.
+    """
+    filled = cut(nodes.join(content.select(F.col("id").alias("rep"), "items"), "rep").select("rep", "label", "items"))
+    # At most one row for each place, whatever the nodes.
+    found = map_columns(filled.select("items"), "place int, n bigint", _frequencies).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << PLACES_BITS, np.int64)
+    often[found["place"].to_numpy()] = found["n"].to_numpy()
+    choose = lambda batches: ([reps, labels, [rare_words(np.frombuffer(x, np.uint64), often) for x in items]] for reps, labels, items in batches)
+    by_key = map_columns(filled, "rep bigint, label bigint, keys array<bigint>", choose).select("rep", "label", F.explode("keys").alias("key"))
+    by_key = cut(by_key, filled)
+    mixed = by_key.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return by_key.join(mixed, "key").groupBy("rep").agg(F.collect_list("key").alias("keys"))
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id``, ``h`` (hash of the text), ``words``, ``class_id``, ``class_size`` and ``kept`` of every row."""
+    source = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    described = cut(map_columns(source, "id bigint, h bigint, words binary, n int, sketches array<bigint>", _describe))
     nodes = described.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     buckets = cut(nodes.filter("rep is not null").select("rep", "n", F.explode("sketches").alias("b")))
     first = buckets.groupBy("b").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     crowded = cut(buckets.join(first, "b").select("b", "rep", "n", "lead"), buckets)
     starred = crowded.filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     involved = crowded.select(F.col("rep").alias("id")).distinct()
-    # Rows that repeat an id with other words are told apart by their words' hash only in the class table.
-    content = cut(map_columns(source.join(involved, "id").dropDuplicates(["id"]), "id bigint, items binary, sketches binary", _content))
+    texts = source.join(involved, "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    content = cut(map_columns(texts, "id bigint, items binary", _content))
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(content.select(F.col("id").alias("u"), F.col("items").alias("a")), "u").join(content.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
@@ -258,40 +320,69 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     links = cut(verified(starred))
     labels = cut(components(links))
-    left = None
-    for turn in range(ROUNDS + 1):
+    before, turn = None, 0
+    while True:
         placed = cut(crowded.join(labels, crowded.rep == labels.node, "left").select("b", "rep", "n", "lead", F.coalesce("label", "rep").alias("label")))
         parts = placed.groupBy("b", "label").agg(F.count("*").alias("k"))
-        mixed = parts.groupBy("b").agg(F.count("*").alias("labels"), F.sum("k").alias("total"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).filter("labels > 1")
+        mixed = parts.groupBy("b").agg(F.count("*").alias("labels"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).filter("labels > 1")
         rest = placed.join(mixed.select("b"), "b")
-        before, left = left, mixed.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
+        left = mixed.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
         if not left:
             break
-        last = turn == ROUNDS or left <= FEW_PAIRS or left <= placed.count() or (before is not None and left > 0.8 * before)
-        near = lambda x, y: (F.col(f"{x}.n") * SIMILARITY <= F.col(f"{y}.n")) & (F.col(f"{y}.n") * SIMILARITY <= F.col(f"{x}.n"))
+        last = left <= placed.count() or (before is not None and 2 * left > before)
+        before, turn = left, turn + 1
         if last:
+            keyed = cut(_rare_words(rest.select("rep", "label").distinct(), content))
+            near = rest.join(keyed, "rep")
+            total = near.groupBy("b").agg(F.count("*").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("b", "total")
             # Blocks of a bucket meet in pairs, so that a task holds two blocks, and pairs are never rows.
-            blocks = F.ceil(F.col("total") / BLOCK_NODES)
-            dealt = rest.join(mixed.select("b", "total"), "b").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "b"), F.col("blocks")))
-            dealt = dealt.select("b", "rep", "n", "lead", "label", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+            near = near.join(total, "b")
+            homes = near.groupBy("rep").agg(F.collect_set("b").alias("homes"))
+            dealt = near.join(homes, "rep").withColumn("blocks", F.ceil(F.col("total") / BLOCK_NODES)).withColumn("block", F.pmod(F.xxhash64("rep", "b"), F.col("blocks")))
+            dealt = dealt.select("b", "rep", "n", "label", "keys", "homes", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
             dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-            filled = dealt.join(content.select(F.col("id").alias("rep"), "items", "sketches"), "rep")
-            more = cut(filled.groupBy("b", "i", "j").applyInPandas(_across, "u bigint, v bigint").distinct())
+            filled = dealt.join(content.select(F.col("id").alias("rep"), "items"), "rep")
+            # Little data may be much work, so that partitions are not put together by size.
+            spread = filled.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "i", "j")
+            more = cut(spread.groupBy("b", "i", "j").applyInPandas(_across, "u bigint, v bigint").distinct())
         else:
+            close = (F.col("x.n") * SIMILARITY <= F.col("y.n")) & (F.col("y.n") * SIMILARITY <= F.col("x.n"))
             by_chance = F.min(F.struct(F.xxhash64("rep", "b", F.lit(turn)).alias("h"), "rep", "n", "label"))
             chosen = rest.groupBy("b").agg(by_chance.alias("y")).select("b", "y.rep", "y.n", "y.label")
-            pairs = rest.alias("x").join(chosen.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
+            pairs = rest.alias("x").join(chosen.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & close)
             more = cut(verified(pairs.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()))
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
             labels = cut(components(stars.unionByName(more)), labels, more, placed)
         if last:
             break
+    # Of texts without any id each is a class of its own.
     classes = nodes.join(labels, nodes.rep == labels.node, "left").select("words", "copies", F.coalesce("label", "rep").alias("class_id"))
-    sizes = classes.groupBy(F.col("class_id").alias("c")).agg(F.sum("copies").alias("class_size"))
-    named = classes.join(sizes, F.col("class_id").eqNullSafe(F.col("c"))).select("words", "class_id", "class_size")
+    classes = classes.withColumn("alone", F.when(F.col("class_id").isNull(), F.col("words")))
+    sizes = classes.groupBy(F.col("class_id").alias("c"), F.col("alone").alias("a")).agg(F.sum("copies").alias("class_size"))
+    named = classes.join(sizes, F.col("class_id").eqNullSafe(F.col("c")) & F.col("alone").eqNullSafe(F.col("a"))).select("words", "class_id", "class_size")
     kept = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
-    return described.select("id", "words").join(named, "words").select(F.col("id").alias(key), "class_id", "class_size", kept.alias("kept"))
+    return described.select("id", "h", "words").join(named, "words").select("id", "h", "words", "class_id", "class_size", kept.alias("kept"))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``class_id`` (smallest id of the class), ``class_size`` (rows) and ``kept`` of every row."""
+    return _classes(docs, key, text).select(F.col("id").alias(key), "class_id", "class_size", "kept")
+
+
+def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the document with the smallest id, with all of its rows.
+
+    Of texts that only rows with null ids have, one row stays, the one whose values hash lowest.
+    """
+    id_, h, id2, h2, words, rank = (fresh(docs, x) for x in ("near_id", "near_hash", "near_id2", "near_hash2", "near_words", "near_rank"))
+    kept = _classes(docs, key, text).filter("kept").select(F.col("id").alias(id2), F.col("h").alias(h2), F.col("words").alias(words)).distinct()
+    whole = docs.withColumn(id_, F.col(key).cast("bigint")).withColumn(h, F.xxhash64(F.col(text)))
+    found = whole.join(kept, F.col(id_).eqNullSafe(F.col(id2)) & (F.col(h) == F.col(h2)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    order = Window.partitionBy(words).orderBy(F.xxhash64(*names), *names)
+    nameless = found.filter(F.col(id_).isNull()).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
+    return found.filter(F.col(id_).isNotNull()).select(*names).unionByName(nameless.select(*names))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

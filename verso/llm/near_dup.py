@@ -49,7 +49,7 @@ SKETCHES, ORDER, SHORT, SHORT_ORDER = 20, 4, 40, 2
 #: Nodes of a bucket in one block of the full comparison.
 BLOCK_NODES = 256
 #: Bits of the places at which words are counted.
-PLACES_BITS = 18
+PLACES_BITS = 20
 #: Distinct words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 _rng = np.random.default_rng(20)
@@ -284,21 +284,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def _rare_words(nodes: DataFrame, content: DataFrame) -> DataFrame:
-    """``rep`` and ``keys`` of nodes (``rep``, ``label``) that share a word of their rarest fifth across components.
+    """``rep`` and ``keys`` of nodes (``rep``, ``label``) that share a word of their rarest fifth with another one.
 
     Words are labelled by occurrence and ordered by how many nodes have them, estimated from above by a table of
     fixed size. Two nodes that are similar by ``SIMILARITY`` cannot both have all common words after these first ones.
+    Where there are more words than places, words of their own count as shared: more nodes stay, none is lost.
     """
-    filled = cut(nodes.join(content.select(F.col("id").alias("rep"), "items"), "rep").select("rep", "label", "items"))
+    filled = cut(nodes.select("rep").distinct().join(content.select(F.col("id").alias("rep"), "items"), "rep").select("rep", "items"))
     # At most one row for each place, whatever the nodes.
     found = map_columns(filled.select("items"), "place int, n bigint", _frequencies).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(1 << PLACES_BITS, np.int64)
     often[found["place"].to_numpy()] = found["n"].to_numpy()
-    choose = lambda batches: ([reps, labels, [rare_words(np.frombuffer(x, np.uint64), often) for x in items]] for reps, labels, items in batches)
-    by_key = map_columns(filled, "rep bigint, label bigint, keys array<bigint>", choose).select("rep", "label", F.explode("keys").alias("key"))
-    by_key = cut(by_key, filled)
-    mixed = by_key.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return by_key.join(mixed, "key").groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    choose = lambda batches: ([reps, [rare_words(np.frombuffer(x, np.uint64), often) for x in items]] for reps, items in batches)
+    return map_columns(filled.select("rep", "items"), "rep bigint, keys array<bigint>", choose).filter(F.size("keys") > 0)
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -305,6 +305,35 @@ def test_many_tasks_average(spark, monkeypatch):
     assert all(math.isfinite(r.score) for r in out) and sum(r.score for r in out) / sum(r.n_tokens for r in out) > -5
 
 
+def test_weights_learn_from_every_id_of_every_training_text(spark, monkeypatch):
+    """As many targets as all whole training texts have ids and ends, in one partition and in many."""
+    kept = []
+    real = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: kept.append(real(*a)) or kept[-1])
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = [None, "", " " * 3000 + "late", "lone", "x" * 5000, "tail " * 900 + " " * 3000, *[f"some words {k} of a text " * 99 for k in range(40)], *["copy of a text " * 200] * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = lm_score.subwords(path, pattern)
+    expected = sum(len(own.of(lm_score.words_of(t))) // 4 + 1 for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2)
+    for size in (1 << 21, 2000):
+        monkeypatch.setattr(lm_score, "IDS_OF_TASK", size)
+        assert lm_score.score_texts(docs, path, pattern).count() == len(texts)
+        assert kept[-1].learnt == expected
+
+
+def test_parts_are_joined_without_a_gap():
+    rng = random.Random(6)
+    texts = [None, "", " " * 3000, " " * 3000 + "late", "tail " * 300 + " " * 3000, "x" * 5000, " ".join("w" * rng.randrange(1, 30) for _ in range(900))]
+    for t in texts:
+        found = lm_score.chained([t], lm_score.PARTS)
+        words = lm_score.words_of(t)
+        assert [w for p in found for w in p[2].split()] == words and [p[4] for p in found] == [False] * (len(found) - 1) + [True]
+        at = 0
+        for p in found:
+            assert p[3] == (words[at - 1] if at else b"")
+            at += len(p[2].split())
+
+
 def test_training_lines_keep_their_true_neighbours(spark):
     """A long text's lines, alternating between two kinds, are thinned to runs that still alternate."""
     text = "\n".join("PLAIN" if k % 2 else "some words of a line" for k in range(301))

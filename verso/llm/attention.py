@@ -142,12 +142,17 @@ class Codes:
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values (places x width) by row."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
+    return _runs(rows.take(order), values.take(order, axis=0), n)
+
+
+def _runs(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums by row of values whose rows come in order."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(rows):
-        out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        out[rows[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
@@ -209,11 +214,14 @@ class Attention:
         kept = np.flatnonzero(real)
         of, node, sign = self.codes.paths(ids[kept])
         of = kept[of]
-        z = sign * (np.einsum("ij,ij->i", hidden[of], self.nodes[node]) + self.codes.bias[node])
+        seen, turned = hidden.take(of, axis=0), self.nodes.take(node, axis=0)
+        z = sign * (np.einsum("ij,ij->i", seen, turned) + self.codes.bias[node])
         loss += float(np.logaddexp(0, -z).sum() - self.codes.rest[ids[kept]].sum())
         dz = (-sign / (1 + np.exp(np.minimum(z, 60))) / n).astype(np.float32)
-        dh += _sums(of, dz[:, None] * self.nodes[node], len(ids))
-        g["nodes"] = _sums(node, dz[:, None] * hidden[of], NODES)
+        turned *= dz[:, None]
+        seen *= dz[:, None]
+        dh += _runs(of, turned, len(ids))
+        g["nodes"] = _sums(node, seen, NODES)
         dh = (dh * (1 - np.abs(hidden)) ** 2).reshape(states.shape)
         # Gradients by input row of what each row is as a query, on its own, as a value and as a key.
         da = np.matmul(dh, value[rows].transpose(0, 2, 1))

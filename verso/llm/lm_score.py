@@ -12,11 +12,11 @@ sum of these logs; nothing else is mixed in.
 
 Training. From all training words with their counts come the frequencies of ids, which ids stand together in words
 (which makes the output's cells) and which cell follows which id (what the weights start from). The weights are
-trained with Adam on a fixed share of the training rows' texts: of every text the parts of ``PART`` bytes whose
-hash is a multiple of ``PARTS``, so that what is learnt from grows with the corpus and depends on no partitioning.
-Parts are dealt by hash to partitions of about ``IDS_OF_TASK`` ids. One of them trains the start in ``EPOCHS`` passes;
-from there each of the others makes one pass, and the mean of their weights, weighted by their ids, is the model
-(where there is one partition, the start is).
+trained with Adam on the whole texts of all training rows, in parts of about ``PART`` bytes: every id and every end is
+a target, a part's first id after the last one of the part before. Parts are dealt by the hash of their row's id
+and bytes, which depends on no partitioning and keeps copies apart, to partitions of about ``IDS_OF_TASK`` ids. One of
+them trains the start in ``EPOCHS`` passes; from there each of the others makes one pass, and the mean of their weights,
+weighted by their ids, is the model (where there is one partition, the start is).
 
 Scoring. A text is cut into blocks of ids; each block is scored once and attends, masked, to itself and the
 block before: overlapping windows of two blocks, evaluated in batches.
@@ -45,8 +45,8 @@ from .common import cut, fold, map_columns, table
 HELD_OUT, HELD_REMAINDER = 7, 2
 #: Frequent words that travel with the tasks: so many at most, each of at most so many bytes.
 HOT, HOT_BYTES = 1 << 16, 64
-#: Bytes of the parts that a training text falls into, and the share of parts that the weights are trained on.
-PART, PARTS = 1024, 16
+#: Bytes of the parts that a training text falls into, and one in how many the weights are trained on: all.
+PART, PARTS = 1024, 1
 IDS_OF_TASK, EPOCHS = 1 << 21, 2
 #: Rates of the start (falling to a twentieth) and of the passes from it (falling likewise).
 RATE, RATE_AFTER = 0.02, 0.004
@@ -164,7 +164,7 @@ def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), "<i4").astype(np.int64), np.array([len(i) // 4 for i in ids], np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, text: str = "text") -> Attention:
+def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> Attention:
     """The model of the training rows ``docs``; ``counts``: ``ids`` and ``c`` of all their words and ends."""
     own = subwords(path, pattern)
     size, initial = own.end + 1, own.initial()
@@ -211,32 +211,47 @@ def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, text: str
     pairs = _dense(map_columns(by_word, "at bigint, c bigint", by_pair), (PAD + 1) * CELLS + CELLS + PAD + 1)
     inside, first, last = np.split(pairs, [(PAD + 1) * CELLS, (PAD + 1) * CELLS + CELLS])
     model = Attention(codes, inside.reshape(PAD + 1, CELLS) + last[:, None] * first / max(1.0, first.sum()))
-    _descend(docs, model, path, pattern, text, frequency.sum())
+    model.learnt = _descend(docs, model, path, pattern, text, key, frequency.sum())
     return model
 
 
-def _descend(docs: DataFrame, model: Attention, path: str, pattern: str, text: str, n_ids: float) -> None:
-    """Train the model's weights on parts of the texts of ``docs``, which have about ``n_ids`` ids."""
+def chained(texts: list[str | None], share: int) -> list[tuple[int, int, bytes, bytes, bool]]:
+    """The texts' parts: place of the text, hash, words, the word before them (none: the text starts here), and whether the text ends."""
+    found = []
+    for k, t in enumerate(texts):
+        before = b""
+        for h, words, _, ends in parts_of(t, share):
+            if words or ends:
+                found.append((k, h, b" ".join(words), before, ends))
+            before = words[-1] if words else before
+            if ends:  # later parts are inside the last word
+                break
+    return found
+
+
+def _descend(docs: DataFrame, model: Attention, path: str, pattern: str, text: str, key: str, n_ids: float) -> int:
+    """Train the model's weights on the parts of the texts of ``docs``, which have about ``n_ids`` ids; the number of targets."""
     row, end, share = model.codes.row, subwords(path, pattern).end, PARTS
 
     def to_parts(batches):
-        own = subwords(path, pattern)
-        for (texts,) in batches:
-            found = [p for t in texts for p in parts_of(t, share)]
-            yield [[p[0] for p in found], [own.of(p[1]) for p in found], [p[2] for p in found], [p[3] for p in found]]
+        for ids, texts in batches:
+            found = list(zip(*chained(texts, share), strict=True)) or [[]] * 5
+            yield [[ids[k] for k in found[0]], *found[1:]]
 
     tasks = max(1, math.ceil(n_ids / share / IDS_OF_TASK))
-    dealt = F.pmod(F.xxhash64("h", "ids"), F.lit(tasks)).cast("int")
-    parts = cut(map_columns(docs.select(F.col(text).alias("text")), "h bigint, ids binary, starts boolean, ends boolean", to_parts).withColumn("task", dealt))
+    dealt = F.pmod(F.xxhash64("id", "h", "words"), F.lit(tasks)).cast("int")
+    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    parts = map_columns(source, "id bigint, h bigint, words binary, before binary, ends boolean", to_parts).withColumn("task", dealt)
 
     def passes(epochs: int, top: float):
         def work(batches):
             mine = Attention.__new__(Attention)
             mine.__dict__.update(model.__dict__)
+            own = subwords(path, pattern)
             texts, starts, ends = [], [], []
-            for _, ids, s, e in batches:
-                texts += [np.frombuffer(x, "<i4") for x in ids]
-                starts += s
+            for words, before, e in batches:
+                texts += [np.frombuffer(own.of([b])[-4:] + own.of(w.split()), "<i4") if b else np.frombuffer(own.of(w.split()), "<i4") for w, b in zip(words, before, strict=True)]
+                starts += [not b for b in before]
                 ends += e
             if not texts:
                 return
@@ -261,16 +276,19 @@ def _descend(docs: DataFrame, model: Attention, path: str, pattern: str, text: s
 
         return work
 
-    def learn(chosen: DataFrame, n: int, epochs: int, top: float) -> None:
-        """Put the mean of what ``n`` tasks learn into the model; one row for each weight comes to the driver."""
-        source = chosen.repartition(n, "task").sortWithinPartitions("task", "h", "ids").select("h", "ids", "starts", "ends")
+    def learn(chosen: DataFrame, epochs: int, top: float) -> int:
+        """Put the mean of what the partitions learn into the model; one row for each weight comes to the driver."""
+        source = chosen.sortWithinPartitions("h", "words", "before", "ends").select("words", "before", "ends")
         found = map_columns(source, "at int, v double", passes(epochs, top)).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow()["v"].to_numpy()
         if len(found):
             model.put(found[1:] / found[0])
+        return int(found[0]) if len(found) else 0
 
-    learn(parts.filter("task = 0"), 1, EPOCHS, RATE)
+    learnt = learn(parts.filter("task = 0").repartition(1), EPOCHS, RATE)
     if tasks > 1:
-        learn(parts.filter("task > 0"), tasks - 1, 1, RATE_AFTER)
+        # Each number is a partition of its own, so that none holds several.
+        learnt += learn(parts.filter("task > 0").repartitionById(tasks - 1, F.col("task") - 1), 1, RATE_AFTER)
+    return learnt
 
 
 def hot_words(counts: DataFrame) -> dict[bytes, int]:
@@ -295,7 +313,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     counts = cut(map_columns(parts.groupBy("w").agg(F.sum("c").alias("c")), "w binary, c bigint, ids binary", encode))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    model = train(docs.filter(training), counts, path, pattern, text)
+    model = train(docs.filter(training), counts, path, pattern, text, key)
     known = {w: math.log10(c + 1) for w, c in hot_words(counts).items()}
     task = docs.sparkSession.sparkContext.broadcast((model, known))
 

@@ -177,6 +177,29 @@ def test_common_matter_makes_no_pairs(spark, monkeypatch):
     assert all(m.count() <= 6 for m in made)
 
 
+def test_rows_compared_grow_with_the_group(spark, monkeypatch):
+    """A group in common buckets, twice as large, whose nodes share rare words by two: twice the rows, not four times."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(100)]
+    made = []
+    frame = type(spark.range(1))
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: made.append(self.count()) or deal(self, *a))
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 1)
+    for n in (30, 60):
+        texts = []
+        for k in range(n):
+            pair = [word() for _ in range(30)] if k % 2 == 0 else pair
+            # Every fifth pair is a link that no bucket's first node finds.
+            texts.append(" ".join([*shared, *pair, *[word() for _ in range(6 if k // 2 % 5 == 3 else 20)]]))
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()}
+        assert got == brute_classes(rows) and len(set(got.values())) < n
+    assert len(made) == 2 and made[1] < 3 * made[0] and made[0] <= 30 * 31
+
+
 def test_rows_that_stay(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(2, text, "a"), (1, text + " more", "b"), (1, text + " more", "c"), (None, text, "d"), (None, "lone text", "e"), (None, "lone  TEXT", "f"), (None, "other", "g"), (9, "short", "h"), (9, "other words", "i"), (10, "Short", "j")]

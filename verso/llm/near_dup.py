@@ -24,7 +24,9 @@ Classes are the connected components of the links:
 4. What is left is compared in full across components. Nodes that are similar by 0.8 share one of the rarest
    fifth of their words (counted, in a table of fixed size, among the nodes that are left), so that only nodes with
    such a word in common stay; texts that share much common matter but little else go here, however many they are. The others are
-   compared block by block inside tasks; pairs are never rows, only links leave a task.
+   dealt to parts by the hashes of these words, so that a pair meets where its words do: a node goes to as many parts as
+   it has such words at most, however large its bucket. Pairs are compared inside tasks and are never rows, only links
+   leave a task. A part grows with the nodes that have one rare word in common.
 5. Components are labelled by rounds of large-star and small-star joins over tables in the shared folder.
 
 Texts with fewer than five words have one item, the text itself. Texts without words are one class. Nulls count as
@@ -46,7 +48,7 @@ from .common import cut, fresh, map_columns
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SHORT, SHORT_ORDER = 20, 4, 40, 2
-#: Nodes of a bucket in one block of the full comparison.
+#: Nodes for each part of the full comparison.
 BLOCK_NODES = 256
 #: Bits of the places at which words are counted.
 PLACES_BITS = 20
@@ -221,20 +223,20 @@ def rare_words(words: np.ndarray, often: np.ndarray) -> np.ndarray:
     return mine[first[count[first] > 1]].view(np.int64)
 
 
-def _across(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one bucket's nodes: those of one block, or of two blocks with each other.
+def _across(part: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Links between the components of one part's nodes.
 
-    Only nodes that share a key are compared, each pair in the first bucket that both are in. A link joins its
-    components at once.
+    Only nodes that share a key of this part and a bucket are compared, each pair in the part of the smallest key that
+    both have. A link joins its components at once.
     """
     found: list[tuple[int, int]] = []
     items = [np.frombuffer(x, np.uint64) for x in part["items"]]
-    rep, size = part["rep"].to_numpy(), part["n"].to_numpy()
-    label, block = part["label"].to_numpy().copy(), part["block"].to_numpy()
-    whole, here = part["i"].iloc[0] == part["j"].iloc[0], int(part["b"].iloc[0])
-    homes = [set(np.asarray(h).tolist()) for h in part["homes"]]
-    keys = np.concatenate([np.asarray(k, np.int64) for k in part["keys"]])
-    owner = np.repeat(np.arange(len(rep)), [len(k) for k in part["keys"]])
+    rep, size, label = part["rep"].to_numpy(), part["n"].to_numpy(), part["label"].to_numpy().copy()
+    here = int(part["part"].iloc[0])
+    homes, known = ([set(np.asarray(x).tolist()) for x in part[c]] for c in ("homes", "keys"))
+    mine_here = [k[k % parts == here] for k in (np.asarray(k, np.int64) for k in part["keys"])]
+    keys = np.concatenate(mine_here)
+    owner = np.repeat(np.arange(len(rep)), [len(k) for k in mine_here])
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     first = np.searchsorted(keys, keys, side="left")
@@ -246,10 +248,8 @@ def _across(part: pd.DataFrame) -> pd.DataFrame:
         near = np.unique(np.concatenate([np.zeros(0, np.int64), *[owner[first[k] : last[k]] for k in mine.tolist()]]))
         near = near[near > x]
         ok = (label[near] != label[x]) & (np.minimum(size[near], size[x]) >= SIMILARITY * np.maximum(size[near], size[x]))
-        if not whole:
-            ok &= block[near] != block[x]
         for y in near[ok].tolist():
-            if label[y] != label[x] and min(homes[x] & homes[y]) == here and linked(items[x], items[y]):
+            if label[y] != label[x] and not homes[x].isdisjoint(homes[y]) and min(known[x] & known[y]) % parts == here and linked(items[x], items[y]):
                 found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
                 label[label == label[y]] = label[x]
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -331,18 +331,14 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
         before, turn = left, turn + 1
         if last:
             keyed = cut(_rare_words(rest.select("rep", "label").distinct(), content))
-            near = rest.join(keyed, "rep")
-            total = near.groupBy("b").agg(F.count("*").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("b", "total")
-            # Blocks of a bucket meet in pairs, so that a task holds two blocks, and pairs are never rows.
-            near = near.join(total, "b")
-            homes = near.groupBy("rep").agg(F.collect_set("b").alias("homes"))
-            dealt = near.join(homes, "rep").withColumn("blocks", F.ceil(F.col("total") / BLOCK_NODES)).withColumn("block", F.pmod(F.xxhash64("rep", "b"), F.col("blocks")))
-            dealt = dealt.select("b", "rep", "n", "label", "keys", "homes", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-            dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-            filled = dealt.join(content.select(F.col("id").alias("rep"), "items"), "rep")
+            parts = max(1, -(-keyed.count() // BLOCK_NODES))
+            homes = rest.groupBy("rep").agg(F.min("n").alias("n"), F.min("label").alias("label"), F.collect_set("b").alias("homes"))
+            filled = keyed.join(homes, "rep").join(content.select(F.col("id").alias("rep"), "items"), "rep")
+            of_part = F.array_distinct(F.transform("keys", lambda k: F.pmod(k, F.lit(parts).cast("bigint"))))
+            dealt = filled.select("rep", "n", "label", "keys", "homes", "items", F.explode(of_part).alias("part"))
             # Little data may be much work, so that partitions are not put together by size.
-            spread = filled.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "i", "j")
-            more = cut(spread.groupBy("b", "i", "j").applyInPandas(_across, "u bigint, v bigint").distinct())
+            spread = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+            more = cut(spread.groupBy("part").applyInPandas(lambda part: _across(part, parts), "u bigint, v bigint").distinct())
         else:
             close = (F.col("x.n") * SIMILARITY <= F.col("y.n")) & (F.col("y.n") * SIMILARITY <= F.col("x.n"))
             by_chance = F.min(F.struct(F.xxhash64("rep", "b", F.lit(turn)).alias("h"), "rep", "n", "label"))

@@ -13,7 +13,7 @@ import pytest
 
 from verso.llm import attention, lm_score, quality
 
-from .helpers import empty_docs, hard_docs
+from .helpers import HARD_TEXTS, empty_docs, hard_docs
 
 DATA = "/root/testdata/sf0.01"
 
@@ -334,6 +334,70 @@ def test_parts_are_joined_without_a_gap():
             at += len(p[2].split())
 
 
+def test_gradients_are_summed_by_row_once(monkeypatch):
+    """A step sorts and sums vectors of the input's width, one for each place of a window, and not what is made of them."""
+    rng = np.random.default_rng(5)
+    model, sizes = small_model(monkeypatch), []
+    real = attention._sums
+    monkeypatch.setattr(attention, "_sums", lambda rows, values, n: sizes.append((n, values.size)) or real(rows, values, n))
+    rows = rng.integers(0, 60, (7, 2 * attention.BLOCK))
+    model.step(rows, rng.integers(0, 300, (7, attention.BLOCK)), np.ones((7, attention.BLOCK), bool))
+    assert sum(size for n, size in sizes if n == attention.PAD + 1) == rows.size * attention.WIDTH
+
+
+@pytest.mark.parametrize("scale", [1, 12])
+def test_steps_lose_nothing_with_large_weights(monkeypatch, scale):
+    """Loss as by definition, and finite gradients, where exponentials of the scores themselves would overflow, too."""
+    rng = np.random.default_rng(6)
+    model, end = small_model(monkeypatch), 299
+    for k in ("query", "key", "out", "place"):
+        setattr(model, k, getattr(model, k) * np.float32(scale))
+    texts = [rng.integers(0, 299, n) for n in (0, 5, 40)]
+    windows, targets, real, _ = attention.blocks_of(texts, end)
+    loss, g = model.step(model.codes.row[windows], targets, real)
+    logs = np.concatenate([brute_logs(model, t.tolist(), end) for t in texts])
+    assert loss == pytest.approx(-logs.mean(), rel=1e-3) and all(np.isfinite(x).all() for x in g.values())
+
+
+def test_descending_equals_adam_written_down(monkeypatch):
+    """The weights after some steps, each factor and moment by the book."""
+    rng = np.random.default_rng(7)
+    model, other = small_model(monkeypatch), small_model(monkeypatch)
+    rows, real = rng.integers(0, 60, (6, 4, 2 * attention.BLOCK)), np.ones((4, attention.BLOCK), bool)
+    ids = rng.integers(0, 300, (6, 4, attention.BLOCK))
+    model.descend(((r, i, real) for r, i in zip(rows, ids)), lambda t: 0.01 / t)
+    m = {k: 0 for k in other.NAMES}
+    v = dict(m)
+    for t in range(1, 7):
+        _, g = other.step(rows[t - 1], ids[t - 1], real)
+        for k in other.NAMES:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+            change = 0.01 / t * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            setattr(other, k, (getattr(other, k) - change).astype(np.float32))
+    assert np.allclose(model.weights(), other.weights(), atol=2e-4)
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 16])
+def test_words_looked_up_together_have_the_ids_they_have_alone(hot):
+    """Every control sign, other kinds of white space (which are no ends of words) and words that are only these."""
+    own = lm_score.subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    signs = [*map(chr, range(128)), *"\x85\xa0    　﻿​Äßİé日😀'", "'s", "'LL ", " 12", "　 ", " 　", "\xa0\xa0 a"]
+    texts = [None, "", " ", *HARD_TEXTS, *["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(300)], " ".join(f"w{k} {k}" for k in range(3000))]
+    lists = [lm_score.words_of(t) for t in texts]
+    counts = Counter([*(w for words in lists for w in words), *[b" "] * len(texts)])
+    frequent = lm_score.Frequent(dict(counts.most_common(hot)), own)
+    sizes, place, each, ids, rare = frequent.read(lm_score.lists_of(texts), own)
+    assert sizes.tolist() == [len(words) for words in lists]
+    flat = [w for words in lists for w in words]
+    assert [w for w, p in zip(flat, place, strict=True) if p < 0] == rare.to_pylist()
+    assert all(frequent.words[p].as_py() == w for w, p in zip(flat, place.tolist()) if p >= 0)
+    assert [x.tolist() for x in lm_score._slices(ids, each)] == [own.ids(w) for w in flat]
+    assert frequent.read(lm_score.lists_of([None, " "]), own)[0].tolist() == [0, 0]
+    assert own.counted([b" ", b"a", "　".encode(), b"b"]) == [np.array(x, "<i4").tobytes() for x in ([own.end], own.ids(b"a"), own.ids("　".encode()), own.ids(b"b"))]
+    assert own.counted([b" "]) == [np.array([own.end], "<i4").tobytes()] and own.counted([]) == []
+
+
 def test_training_lines_keep_their_true_neighbours(spark):
     """A long text's lines, alternating between two kinds, are thinned to runs that still alternate."""
     text = "\n".join("PLAIN" if k % 2 else "some words of a line" for k in range(301))

@@ -128,7 +128,9 @@ class Codes:
         owner, seen = np.repeat(np.arange(n), sizes), self.node < NODES
         fixed = -np.logaddexp(0, -self.sign * self.bias[self.node] if total else np.zeros(0))
         self.rest = np.bincount(owner[~seen], weights=fixed[~seen], minlength=n).astype(np.float32)
-        self.seen_start = np.concatenate([[0], np.cumsum(np.bincount(owner[seen], minlength=n))])
+        # Sizes as numbers of 16 bits, which are sorted by radix; with their signs turned, they stay in range.
+        self.seen_size = np.bincount(owner[seen], minlength=n).astype(np.int16)
+        self.seen_start = np.concatenate([[0], np.cumsum(self.seen_size, dtype=np.int64)])
         self.seen_node, self.seen_sign = self.node[seen], self.sign[seen]
 
     def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,20 +141,31 @@ class Codes:
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)
         return np.repeat(np.arange(len(ids)), sizes), self.seen_node.take(at), self.seen_sign.take(at)
 
+    def levels(self, ids: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+        """All nodes on the ids' paths that see the hidden state, by their place on the path.
 
-def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values (places x width) by row."""
-    # Numbers of 16 bits are sorted by radix.
-    order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
-    return _runs(rows.take(order), values.take(order, axis=0), n)
+        The order of the ids in which the longest paths come first, how many of them have a first, a second, ... node,
+        and all first, second, ... nodes of these with the branches taken (-1 or 1).
+        """
+        sizes = self.seen_size.take(ids)
+        order = np.argsort(-sizes, kind="stable")
+        counts = (len(ids) - np.cumsum(np.bincount(sizes, minlength=1)))[:-1].tolist()
+        start = self.seen_start.take(ids.take(order))
+        at = np.concatenate([start[:c] + k for k, c in enumerate(counts)]) if counts else start[:0]
+        return order, counts, self.seen_node.take(at), self.seen_sign.take(at)
 
 
-def _runs(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums by row of values whose rows come in order."""
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values (places x width) by row."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(rows):
+        # Numbers of 16 bits are sorted by radix.
+        order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
+        rows = rows.take(order)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out[rows[first]] = np.add.reduceat(values, first, axis=0)
+        # Two numbers are summed at a time, as the parts of one complex number.
+        pairs = values.take(order, axis=0).view(np.result_type(values.dtype, np.complex64))
+        out[rows.take(first)] = np.add.reduceat(pairs, first, axis=0).view(values.dtype)
     return out
 
 
@@ -178,85 +191,132 @@ class Attention:
         distance = (np.arange(BLOCK)[:, None] + BLOCK) - np.arange(2 * BLOCK)[None, :]
         self.past, self.distance = distance >= 0, np.maximum(distance, 0)
 
-    def attend(self, rows: np.ndarray):
-        """Hidden states of the windows' second halves, and what the gradients need."""
-        query, key, value, own = self.embed @ self.query / math.sqrt(WIDTH), self.embed @ self.key, self.embed @ self.value, self.embed @ self.mix
-        last = rows[:, BLOCK:]
-        scores = np.matmul(query[last], key[rows].transpose(0, 2, 1))
-        scores += np.where(self.past, self.place[self.distance], np.float32(-1e9)).astype(np.float32)
-        scores += np.where(rows == PAD, np.float32(-1e4), np.float32(0))[:, None, :]
-        scores -= scores.max(axis=2, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
-        hidden = own[last] + np.matmul(scores, value[rows])
-        hidden /= 1 + np.abs(hidden)
-        return hidden, scores, query, key, value, last
-
-    def cell_logs(self, hidden: np.ndarray, last: np.ndarray) -> np.ndarray:
-        logs = hidden @ self.out + self.follow[last.ravel()]
-        logs -= logs.max(axis=1, keepdims=True)
-        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
-        return logs
-
     def step(self, rows: np.ndarray, ids: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the ids that are real, and its gradients."""
-        states, scores, query, key, value, last = self.attend(rows)
-        hidden, ids, real = states.reshape(-1, WIDTH), ids.ravel(), real.ravel()
-        n, at = max(1, int(real.sum())), np.arange(len(ids))
-        logs = self.cell_logs(hidden, last)
-        cells = self.codes.cell[ids]
-        loss = -float(logs[at, cells][real].sum())
-        d = np.exp(logs)
-        d[at, cells] -= 1
-        d *= (real / n).astype(np.float32)[:, None]
+        kind, many = self.embed.dtype, len(rows)
+        last, ids, real = np.ascontiguousarray(rows[:, BLOCK:]).ravel(), ids.ravel(), real.ravel()
+        kept = np.flatnonzero(real)
+        n, at = max(1, len(kept)), np.arange(len(ids))
+        # What windows attend to (keys, values) and what asks (queries, own parts) are products of their own input
+        # vectors, so that gradients are summed by input row once, at the width of a vector.
+        tells, asks = np.concatenate([self.key, self.value], axis=1), np.concatenate([self.query / kind.type(math.sqrt(WIDTH)), self.mix], axis=1)
+        read = self.embed.take(rows.ravel(), axis=0)
+        asking = np.ascontiguousarray(read.reshape(many, 2 * BLOCK, WIDTH)[:, BLOCK:]).reshape(-1, WIDTH)
+        told, asked = (read @ tells).reshape(many, 2 * BLOCK, -1), (asking @ asks).reshape(many, BLOCK, -1)
+        key, value, query, own = told[:, :, :WIDTH], told[:, :, WIDTH:], asked[:, :, :WIDTH], asked[:, :, WIDTH:]
+
+        scores = np.matmul(query, key.transpose(0, 2, 1))
+        if max(scores.max() + self.place.max(), -scores.min() - self.place.min()) > 40:  # else no sum is too large or too small
+            scores += np.where(self.past, self.place[self.distance], -1e9).astype(kind)
+            scores += np.where(rows == PAD, -1e4, 0).astype(kind)[:, None, :]
+            scores -= scores.max(axis=2, keepdims=True)
+            np.exp(scores, out=scores)
+        else:
+            np.exp(scores, out=scores)
+            scores *= np.where(self.past, np.exp(self.place[self.distance]), 0).astype(kind)
+            scores *= (rows != PAD).astype(kind)[:, None, :]
+        scores *= (1 / (scores.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind) + kind.type(1e-30))).reshape(many, BLOCK, 1)
+        seen = np.matmul(scores, value)
+        states = own + seen
+        slope = np.abs(states)
+        slope += 1
+        np.divide(1, slope, out=slope)
+        states *= slope
+        hidden = states.reshape(-1, WIDTH)
+
+        cells = self.codes.cell.take(ids)
+        d = hidden @ self.out
+        d += self.follow.take(last, axis=0)
+        if np.abs(self.out).sum(axis=0).max() > 60:  # else no sum is too large or too small, since each row of follow has a cell of 1 / CELLS or more
+            d -= d.max(axis=1, keepdims=True)
+        loss = -float(d[at, cells].take(kept).sum(dtype=np.float64))
+        np.exp(d, out=d)
+        total = d @ np.ones(CELLS, kind)
+        loss += float(np.log(total.take(kept)).sum(dtype=np.float64))
+        weight = real.astype(kind) / kind.type(n)
+        d *= (weight / total)[:, None]
+        d[at, cells] -= weight
         g = {"out": hidden.T @ d}
         dh = d @ self.out.T
-        kept = np.flatnonzero(real)
-        of, node, sign = self.codes.paths(ids[kept])
-        of = kept[of]
-        seen, turned = hidden.take(of, axis=0), self.nodes.take(node, axis=0)
-        z = sign * (np.einsum("ij,ij->i", seen, turned) + self.codes.bias[node])
-        loss += float(np.logaddexp(0, -z).sum() - self.codes.rest[ids[kept]].sum())
-        dz = (-sign / (1 + np.exp(np.minimum(z, 60))) / n).astype(np.float32)
-        turned *= dz[:, None]
-        seen *= dz[:, None]
-        dh += _runs(of, turned, len(ids))
-        g["nodes"] = _sums(node, seen, NODES)
-        dh = (dh * (1 - np.abs(hidden)) ** 2).reshape(states.shape)
-        # Gradients by input row of what each row is as a query, on its own, as a value and as a key.
-        da = np.matmul(dh, value[rows].transpose(0, 2, 1))
-        ds = scores * (da - (da * scores).sum(axis=2, keepdims=True))
-        asked = np.concatenate([np.matmul(ds, key[rows]), dh], axis=2).reshape(-1, 2 * WIDTH)
-        told = np.concatenate([np.matmul(ds.transpose(0, 2, 1), query[last]), np.matmul(scores.transpose(0, 2, 1), dh)], axis=2).reshape(-1, 2 * WIDTH)
-        dquery, down = np.split(_sums(last.ravel(), asked, PAD + 1), 2, axis=1)
-        dkey, dvalue = np.split(_sums(rows.ravel(), told, PAD + 1), 2, axis=1)
-        dquery = dquery / math.sqrt(WIDTH)
-        g["query"], g["key"], g["value"], g["mix"] = self.embed.T @ dquery, self.embed.T @ dkey, self.embed.T @ dvalue, self.embed.T @ down
-        g["embed"] = dquery @ self.query.T + dkey @ self.key.T + dvalue @ self.value.T + down @ self.mix.T
+
+        order, counts, node, sign = self.codes.levels(ids.take(kept))
+        loss -= float(self.codes.rest.take(ids.take(kept)).sum(dtype=np.float64))
+        if counts:
+            kept = kept.take(order[: counts[0]])
+            on = hidden.take(kept, axis=0)
+            on, turned = np.concatenate([on[:c] for c in counts]), self.nodes.take(node, axis=0)
+            z = np.einsum("ij,ij->i", on, turned)
+            z += self.codes.bias.take(node)
+            z *= sign
+            np.exp(np.minimum(np.negative(z, out=z), 60, out=z), out=z)
+            loss += float(np.log1p(z).sum(dtype=np.float64))
+            z /= (1 + z) * -n
+            z *= sign
+            turned *= z[:, None]
+            on *= z[:, None]
+            first = counts[0]
+            sums, begin = turned[:first], first
+            for c in counts[1:]:
+                sums[:c] += turned[begin : begin + c]
+                begin += c
+            dh[kept] += sums
+            g["nodes"] = _sums(node, on, len(self.nodes))
+        else:
+            g["nodes"] = np.zeros_like(self.nodes)
+
+        slope *= slope
+        dh = dh.reshape(states.shape)
+        dh *= slope
+        ds = np.matmul(dh, value.transpose(0, 2, 1))
+        ds -= np.einsum("ijk,ijk->ij", dh, seen)[:, :, None]
+        ds *= scores
+        dtold, dasked = np.empty_like(told), np.empty_like(asked)
+        np.matmul(ds, key, out=dasked[:, :, :WIDTH])
+        dasked[:, :, WIDTH:] = dh
+        np.matmul(ds.transpose(0, 2, 1), query, out=dtold[:, :, :WIDTH])
+        np.matmul(scores.transpose(0, 2, 1), dh, out=dtold[:, :, WIDTH:])
+        dtold, dasked = dtold.reshape(-1, 2 * WIDTH), dasked.reshape(-1, 2 * WIDTH)
+        g["key"], g["value"] = np.split(read.T @ dtold, 2, axis=1)
+        g["query"], g["mix"] = np.split(asking.T @ dasked, 2, axis=1)
+        g["query"] = g["query"] / kind.type(math.sqrt(WIDTH))
+        dread = dtold @ tells.T
+        dread.reshape(many, 2 * BLOCK, WIDTH)[:, BLOCK:] += (dasked @ asks.T).reshape(many, BLOCK, WIDTH)
+        g["embed"] = _sums(rows.ravel(), dread, PAD + 1)
         g["place"] = np.bincount(self.distance[self.past], weights=ds.sum(axis=0)[self.past], minlength=2 * BLOCK)
         return loss / n, g
 
     def descend(self, batches, rate) -> list[float]:
         """A step of Adam for each batch of windows, ids and which are real; ``rate`` by the step's number."""
-        moments = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
+        flat = self.weights().astype(np.float32)
+        self.put(flat, copy=False)
+        g, old, square, change = np.empty_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
         losses = []
         for t, windows in enumerate(batches, 1):
-            loss, g = self.step(*windows)
+            loss, found = self.step(*windows)
             losses.append(loss)
-            for k in self.NAMES:
-                m, v = moments[k]
-                m += 0.1 * (g[k] - m)
-                v += 0.01 * (g[k] ** 2 - v)
-                setattr(self, k, (getattr(self, k) - rate(t) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32))
+            np.concatenate([found[k].ravel() for k in self.NAMES], out=g, casting="same_kind")
+            # Sums of what is remembered; their factors of 0.1 and 0.01 are in the step's size.
+            old *= 0.9
+            old += g
+            square *= 0.99
+            np.multiply(g, g, out=g)
+            square += g
+            size = math.sqrt(0.01 / (1 - 0.99**t))
+            np.sqrt(square, out=change)
+            change += 1e-8 / size
+            np.divide(old, change, out=change)
+            change *= rate(t) * 0.1 / (1 - 0.9**t) / size
+            flat -= change
         return losses
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES]).astype(np.float64)
 
-    def put(self, weights: np.ndarray) -> None:
+    def put(self, weights: np.ndarray, copy: bool = True) -> None:
+        """Take the weights, as copies or (if they are float32) where they are."""
         for k in self.NAMES:
             old = getattr(self, k)
-            setattr(self, k, weights[: old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, k, weights[: old.size].reshape(old.shape).astype(np.float32, copy=copy))
             weights = weights[old.size :]
 
     def tables(self) -> tuple[np.ndarray, ...]:

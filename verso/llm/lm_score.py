@@ -29,12 +29,15 @@ the weights are those of the start. A word of any length is encoded whole.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import math
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +53,8 @@ PART, PARTS = 1024, 1
 IDS_OF_TASK, EPOCHS = 1 << 21, 2
 #: Rates of the start (falling to a twentieth) and of the passes from it (falling likewise).
 RATE, RATE_AFTER = 0.02, 0.004
-#: Windows shuffled at a time; words counted or remembered by a task; ids scored at a time.
-MIXED, COUNTED, CACHE_WORDS, IDS_AT_ONCE = 1 << 14, 400_000, 250_000, 1 << 16
+#: Words counted by a task; ids scored at a time.
+COUNTED, IDS_AT_ONCE = 400_000, 1 << 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,15 +72,16 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.known: dict[bytes, bytes] = {}
 
     def ids(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
-    def word_ids(self, word: bytes) -> bytes:
-        """32-bit ids of a counted word; the one that is a space stands for the end."""
-        return np.array([self.end] if word == b" " else self.ids(word), "<i4").tobytes()
+    def counted(self, words: list[bytes]) -> list[bytes]:
+        """32-bit ids of each counted word; the one that is a space stands for the end."""
+        found = iter(_slices(*self.each([w for w in words if w != b" "])))
+        return [(np.array([self.end]) if w == b" " else next(found)).astype("<i4").tobytes() for w in words]
 
+    @functools.cached_property
     def initial(self) -> np.ndarray:
         """Whether an id starts with a space, or is the end."""
         starts = [self.encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(self.end)]
@@ -85,19 +89,67 @@ class Subwords:
 
     def of(self, words: list[bytes]) -> bytes:
         """32-bit ids of the words, joined."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                found = [None] * len(words)
-            for k, f in enumerate(found):
-                if f is None:
-                    w = words[k]
-                    f = self.known.get(w)
-                    if f is None:
-                        f = self.known[w] = np.array(self.ids(w), "<i4").tobytes()
-                    found[k] = f
-        return b"".join(found)
+        return self.each(words)[0].astype("<i4").tobytes()
+
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and each word's number of ids.
+
+        Words are encoded together, as no piece of the vocabulary's pattern goes on behind a space. White space of other
+        kinds, which words may have, could be one piece with it; such words are encoded alone.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        joined = " " + " ".join(texts)
+        if texts and joined.split() == texts:
+            ids = np.array(self.encoding.encode_ordinary(joined), np.int64)
+            starts = np.flatnonzero(self.initial[ids])
+            if len(starts) == len(words):
+                return ids, np.diff(np.append(starts, len(ids)))
+        if len(words) < 8:
+            return _flat([np.array(self.ids(w), "<i4").tobytes() for w in words])
+        half = len(words) // 2
+        return tuple(map(np.concatenate, zip(self.each(words[:half]), self.each(words[half:]), strict=True)))
+
+
+class Frequent:
+    """The frequent words that travel with tasks: their ids, and the logs of their counts (plus 1)."""
+
+    def __init__(self, counts: dict[bytes, int], own: Subwords) -> None:
+        self.end = math.log10(counts[b" "] + 1) if b" " in counts else None
+        words = [w for w in counts if w != b" "]
+        self.words = pa.array(words, pa.binary())
+        self.logs = np.array([math.log10(counts[w] + 1) for w in words], np.float64)
+        self.ids, self.sizes = own.each(words)
+
+    def read(self, lists: pa.Array, own: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of lists of words (empty ones are none): sizes of the lists, each word's place among the frequent ones (or -1)
+        and its number of ids, all ids, and the words that are not frequent."""
+        words, edges = lists.flatten().cast(pa.binary()), np.asarray(lists.offsets)
+        real = np.asarray(pc.binary_length(words)) > 0
+        edges = np.concatenate([[0], np.cumsum(real)])[edges - edges[0]]
+        words = words.filter(pa.array(real))
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        missed = place < 0
+        rare = words.filter(pa.array(missed))
+        new = rare.dictionary_encode()
+        ids, sizes = own.each(new.dictionary.to_pylist())
+        at = place.copy()
+        at[missed] = len(self.sizes) + np.asarray(new.indices)
+        ids, sizes = np.concatenate([self.ids, ids]).astype(np.int32), np.concatenate([self.sizes, sizes])
+        begin = (np.cumsum(sizes) - sizes).take(at)
+        sizes = sizes.take(at)
+        ends = np.cumsum(sizes)
+        return np.diff(edges), place, sizes, ids.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)), rare
+
+
+def lists_of(texts: list[str | None]) -> pa.Array:
+    """The contract's words of each text (and empty ones): Arrow lower-cases A-Z only and splits at exactly space and 9 to 13."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.string())))
+
+
+def _slices(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Consecutive parts of these sizes."""
+    ends = np.cumsum(sizes)
+    return [values[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 _subwords: dict[str, Subwords] = {}
@@ -164,10 +216,10 @@ def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), "<i4").astype(np.int64), np.array([len(i) // 4 for i in ids], np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> Attention:
-    """The model of the training rows ``docs``; ``counts``: ``ids`` and ``c`` of all their words and ends."""
+def train(docs: DataFrame, counts: DataFrame, known, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> Attention:
+    """The model of the training rows ``docs``; ``counts``: ``ids`` and ``c`` of all their words and ends; ``known``: broadcast, frequent words."""
     own = subwords(path, pattern)
-    size, initial = own.end + 1, own.initial()
+    size, initial = own.end + 1, own.initial
     by_word = counts.select("ids", "c")
 
     def by_id(batches):
@@ -211,7 +263,7 @@ def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, text: str
     pairs = _dense(map_columns(by_word, "at bigint, c bigint", by_pair), (PAD + 1) * CELLS + CELLS + PAD + 1)
     inside, first, last = np.split(pairs, [(PAD + 1) * CELLS, (PAD + 1) * CELLS + CELLS])
     model = Attention(codes, inside.reshape(PAD + 1, CELLS) + last[:, None] * first / max(1.0, first.sum()))
-    model.learnt = _descend(docs, model, path, pattern, text, key, frequency.sum())
+    model.learnt = _descend(docs, model, known, path, pattern, text, key, frequency.sum())
     return model
 
 
@@ -229,7 +281,7 @@ def chained(texts: list[str | None], share: int) -> list[tuple[int, int, bytes,
     return found
 
 
-def _descend(docs: DataFrame, model: Attention, path: str, pattern: str, text: str, key: str, n_ids: float) -> int:
+def _descend(docs: DataFrame, model: Attention, known, path: str, pattern: str, text: str, key: str, n_ids: float) -> int:
     """Train the model's weights on the parts of the texts of ``docs``, which have about ``n_ids`` ids; the number of targets."""
     row, end, share = model.codes.row, subwords(path, pattern).end, PARTS
 
@@ -250,7 +302,13 @@ def _descend(docs: DataFrame, model: Attention, path: str, pattern: str, text: s
             own = subwords(path, pattern)
             texts, starts, ends = [], [], []
             for words, before, e in batches:
-                texts += [np.frombuffer(own.of([b])[-4:] + own.of(w.split()), "<i4") if b else np.frombuffer(own.of(w.split()), "<i4") for w, b in zip(words, before, strict=True)]
+                lists = pc.split_pattern(pa.array([b + b" " + w for w, b in zip(words, before, strict=True)], pa.binary()), b" ")
+                counts, _, sizes, ids, _ = known.value.read(lists, own)
+                first = np.cumsum(counts) - counts
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                # Of the word before a part, the last id is read.
+                skipped = [int(sizes[k]) - 1 if b else 0 for k, b in zip(first, before, strict=True)]
+                texts += [x[k:] for x, k in zip(_slices(ids, edges[first + counts] - edges[first]), skipped, strict=True)]
                 starts += [not b for b in before]
                 ends += e
             if not texts:
@@ -309,44 +367,47 @@ def score_texts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     training = fold(key, HELD_OUT) != HELD_REMAINDER
     parts = map_columns(docs.filter(training).select(F.col(text).alias("text")), "w binary, c bigint", _count)
-    encode = lambda batches: ([w, c, [subwords(path, pattern).word_ids(x) for x in w]] for w, c in batches)
+    encode = lambda batches: ([w, c, subwords(path, pattern).counted(w)] for w, c in batches)
     counts = cut(map_columns(parts.groupBy("w").agg(F.sum("c").alias("c")), "w binary, c bigint, ids binary", encode))
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    model = train(docs.filter(training), counts, path, pattern, text, key)
-    known = {w: math.log10(c + 1) for w, c in hot_words(counts).items()}
-    task = docs.sparkSession.sparkContext.broadcast((model, known))
+    known = docs.sparkSession.sparkContext.broadcast(Frequent(hot_words(counts), subwords(path, pattern)))
+    model = train(docs.filter(training), counts, known, path, pattern, text, key)
+    task = docs.sparkSession.sparkContext.broadcast(model)
 
     def describe(batches):
-        model, known = task.value
+        model, often = task.value, known.value
         mine, tables = subwords(path, pattern), model.tables()
         row = itertools.count(TaskContext.get().partitionId() << 33)
+
+        def scores(group: list[np.ndarray]) -> list[float]:
+            windows, targets, real, owner = blocks_of(group, mine.end)
+            logs = np.where(real.ravel(), model.logs(windows, targets, tables), 0)
+            return (np.bincount(np.repeat(owner, BLOCK), weights=logs, minlength=len(group)) / math.log(10)).tolist()
+
         for ids, texts, held in batches:
-            out: list[list] = [[] for _ in range(8)]
+            counts, place, sizes, flat, rare = often.read(lists_of(texts), mine)
+            owner, hot = np.repeat(np.arange(len(texts)), counts), place >= 0
+            logs = np.bincount(owner[hot], weights=often.logs.take(place[hot]), minlength=len(texts))
+            missed = np.bincount(owner[~hot], minlength=len(texts))
+            found = counts - missed
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missed)]), pa.int32()), rare)
+            if often.end is None:
+                rare = [[*words, b" "] for words in rare.to_pylist()]
+            else:
+                logs, found = logs + often.end, found + 1
+            score: list[float] = []
             group: list[np.ndarray] = []
             size = 0
-
-            def flush():
-                windows, targets, real, owner = blocks_of(group, mine.end)
-                logs = np.where(real.ravel(), model.logs(windows, targets, tables), 0)
-                out[7].extend((np.bincount(np.repeat(owner, BLOCK), weights=logs, minlength=len(group)) / math.log(10)).tolist())
-
-            for identifier, t, h in zip(ids, texts, held, strict=True):
-                words = words_of(t)
-                group.append(np.frombuffer(mine.of(words), "<i4"))
-                words.append(b" ")  # the end
-                found = list(map(known.get, words))
-                rare = [w for w, f in zip(words, found, strict=True) if f is None]
-                line = (next(row), identifier, h, len(words), len(words) - len(rare), math.fsum([f for f in found if f is not None]), rare)
-                for column, value in zip(out, line):
-                    column.append(value)
-                size += len(group[-1])
+            for own in _slices(flat, np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)):
+                group.append(own)
+                size += len(own)
                 if size > IDS_AT_ONCE:
-                    flush()
+                    score += scores(group)
                     group, size = [], 0
             if group:
-                flush()
-            yield out
+                score += scores(group)
+            yield [[next(row) for _ in texts], ids, held, pa.array(counts + 1), pa.array(found), pa.array(logs), rare, score]
 
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), (~training).alias("held_out"))
     made = cut(map_columns(source, "row bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, w array<binary>, score double", describe))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = r"\p{IsWhite_Space}"
+ASCII_WHITE = " \t\n\f\r"
 PLACEHOLDER = r"\[placeholder:([a-zA-Z0-9_]+)\]"
 #: Zero-width space, non-joiner and joiner, and the byte-order mark.
 ZERO_WIDTH = (0x200B, 0x200C, 0x200D, 0xFEFF)
@@ -23,6 +24,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")
 
 
+def trim_ascii(c: Column) -> Column:
+    """Without space, tab, line feed, form feed and carriage return at both ends, which is what ``\\s`` means in SQL."""
+    return F.regexp_replace(c, rf"^[{ASCII_WHITE}]+|[{ASCII_WHITE}]+\z", "")
+
+
 def trim_end(c: Column) -> Column:
     return F.regexp_replace(c, rf"{WHITE}+\z", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,15 +12,16 @@ from .text import trim
 MARKER = r"\[SEG_(\d+)\]"
 
 
-def parse_batch(response: Column, expected: Column, requested: Column | None = None) -> Column:
+def parse_batch(response: Column, expected: Column, requested: Column | None = None, trimmed: Callable[[Column], Column] = trim) -> Column:
     """``struct<ok: array<struct<idx, text>>, error>`` of a marked response.
 
     What stands before the first marker is dropped; the rest is trimmed and sorted by index, equal indices
-    in order of appearance. ``requested`` (an array of indices) makes the set of indices binding too.
+    in order of appearance. ``requested`` (an array of indices) makes the set of indices binding too;
+    ``trimmed`` tells what is trimmed.
     """
     numbers = F.transform(F.regexp_extract_all(response, F.lit(MARKER), F.lit(1)), lambda n: n.try_cast("decimal(38,0)"))
     parts = F.split(response, MARKER, -1)
-    texts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), trim)
+    texts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), trimmed)
     pairs = F.array_sort(F.transform(F.arrays_zip(numbers.alias("idx"), texts.alias("text")), lambda p, k: F.struct(p["idx"].alias("idx"), k.alias("k"), p["text"].alias("text"))))
     found = F.size(numbers)
     overflow = F.exists(numbers, lambda n: n.isNull() | (n > F.lit("18446744073709551615").cast("decimal(38,0)")))

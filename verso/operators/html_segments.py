@@ -7,6 +7,8 @@ are looked up by their segment's number, so that a missing one leaves a gap and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,24 +95,37 @@ def by_number(translated: DataFrame) -> DataFrame:
     return found.select("doc_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at(F.col("found"), k)).alias("translations"))
 
 
+def _once(f: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """``f(a, b)``, with both computed once for a row: a lambda's variables are values, which inner lambdas don't compute again."""
+    return F.get(F.zip_with(F.array(a), F.array(b), f), F.lit(0))
+
+
 def substitute(marked: Column, translations: Column, kind: str = "EPUB") -> Column:
     """``marked`` with each marker replaced by the translation of that index, or nothing.
 
     Values are inserted as they are: a value that looks like a marker or a back-reference is no pattern.
     """
     pattern = f"\x00{kind}_(\\d+)\x00"
-    numbers = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
-    values = F.transform(numbers, lambda n: F.coalesce(F.get(translations, F.coalesce(n.try_cast("int"), F.lit(0))), F.lit("")))
-    return interleave(F.split(marked, pattern, -1), values)
+
+    def put(marked: Column, translations: Column) -> Column:
+        numbers = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
+        values = F.transform(numbers, lambda n: F.coalesce(F.get(translations, F.coalesce(n.try_cast("int"), F.lit(0))), F.lit("")))
+        return interleave(F.split(marked, pattern, -1), values)
+
+    return _once(put, marked, translations)
 
 
 def restore_code(text: Column, codes: Column) -> Column:
     """Inline code for its numbered placeholders; an unknown number stays as it is."""
     pattern = r"`C(\d+)`"
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    known = F.zip_with(whole, numbers, lambda w, n: F.coalesce(F.get(codes, F.coalesce(n.try_cast("int"), F.lit(-1))), w))
-    return interleave(F.split(text, pattern, -1), known)
+
+    def put(text: Column, codes: Column) -> Column:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        known = F.zip_with(whole, numbers, lambda w, n: F.coalesce(F.get(codes, F.coalesce(n.try_cast("int"), F.lit(-1))), w))
+        return interleave(F.split(text, pattern, -1), known)
+
+    return _once(put, text, codes)
 
 
 def assemble(pages: DataFrame, translated: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

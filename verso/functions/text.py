@@ -38,7 +38,8 @@ def trim_start(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return trim(c) == ""
+    """Whether there is nothing but white space; ends at the first other character."""
+    return ~c.rlike(r"\P{IsWhite_Space}")
 
 
 def remove_zero_width(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,23 +39,16 @@ def fold(df: DataFrame, by: list[str], order: list[str], schema: str, work: Call
                 ahead = next(source, None)
                 yield row
 
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[] for _ in arrow]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        while ahead is not None:
-            rows = group()
-            for made in work(rows):
-                out.append(made)
-                if len(out) >= ROWS_AT_ONCE:
-                    yield flush()
-                    out.clear()
-            for _ in rows:
-                pass
-        if out:
-            yield flush()
+        def worked() -> Iterator[Iterable[tuple]]:
+            while ahead is not None:
+                rows = group()
+                yield work(rows)
+                for _ in rows:
+                    pass
+
+        made = chain.from_iterable(worked())
+        while out := list(islice(made, ROWS_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     dealt = df.select(*names).repartition(*by).sortWithinPartitions(*by, *order)
     return dealt.mapInArrow(run, spark_schema)

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verso.functions.text import is_blank, let, trim
+from verso.functions.text import is_blank
 from verso.operators.folds import fold
 
 DEFAULT_THRESHOLD, LEAST_THRESHOLD, PARAGRAPH_FACTOR = 25.0, 18.0, 1.8
@@ -21,10 +24,14 @@ SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 
 
 def line_gaps(spans: DataFrame) -> DataFrame:
-    """``doc_id, page, span_idx, gap`` between each non-blank span and the one before it, 1 < gap < 200."""
+    """``doc_id, page, span_idx, gap`` of every span: from the one before it, if neither is blank and 1 < gap < 200; else null.
+
+    No text goes through the shuffle, which is by document.
+    """
     order = Window.partitionBy("doc_id", "page").orderBy("span_idx")
-    gaps = spans.select("doc_id", "page", "span_idx", (F.lag("y").over(order) - F.col("y")).alias("gap"), (~is_blank(F.col("text")) & ~is_blank(F.lag("text").over(order))).alias("both"))
-    return gaps.filter("both and gap > 1 and gap < 200").drop("both")
+    slim = spans.select("doc_id", "page", "span_idx", "y", (~is_blank(F.col("text"))).alias("full")).repartition("doc_id")
+    gaps = slim.select("doc_id", "page", "span_idx", (F.lag("y").over(order) - F.col("y")).alias("gap"), (F.col("full") & F.lag("full").over(order)).alias("both"))
+    return gaps.withColumn("gap", F.when(F.expr("both and gap > 1 and gap < 200"), F.col("gap"))).drop("both")
 
 
 def paragraph_thresholds(spans: DataFrame) -> DataFrame:
@@ -33,12 +40,12 @@ def paragraph_thresholds(spans: DataFrame) -> DataFrame:
     Of gaps that are equally common the smaller counts first. Documents without gaps get 25.
     """
     counts = line_gaps(spans).groupBy("doc_id", F.round(F.col("gap") * F.lit(10.0).cast("float")).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "bin"))).filter("rank <= 2")
-    tops = ranked.groupBy("doc_id").agg(F.max(F.when(F.col("rank") == 1, F.col("bin"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("bin"))).alias("b"))
+    # A document has at most 2000 bins.
+    ranked = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct((-F.col("n")).alias("n"), "bin")))).alias("ranked"))
+    tops = ranked.select("doc_id", F.get("ranked", F.lit(0))["bin"].alias("a"), F.get("ranked", F.lit(1))["bin"].alias("b"))
     line = F.col("a") / 10.0
     middle = (line + F.coalesce(F.col("b") / 10.0, line * PARAGRAPH_FACTOR)) / 2.0
-    every = spans.select("doc_id").distinct()
-    return every.join(tops, "doc_id", "left").select("doc_id", F.when(F.col("a").isNull(), DEFAULT_THRESHOLD).otherwise(F.greatest(middle, F.lit(LEAST_THRESHOLD))).alias("threshold"))
+    return tops.select("doc_id", F.when(F.col("a").isNull(), DEFAULT_THRESHOLD).otherwise(F.greatest(middle, F.lit(LEAST_THRESHOLD))).alias("threshold"))
 
 
 def reading_order(spans: DataFrame) -> DataFrame:
@@ -88,30 +95,29 @@ def classify(text: Column, font_size: Column, is_monospace: Column, min_x: Colum
 GROUPS = "doc_id bigint, page int, island int, group int, start_y float, text string, font_size float, min_x float, is_monospace boolean, is_italic boolean"
 
 
-def _fold_page(spans: Iterable) -> Iterator[tuple]:
-    """Groups of one island. A break depends on the largest font of the group so far: a fold, no window.
+def _groups(spans: Iterable, threshold: float) -> Iterator[tuple]:
+    """``number, text, font_size, min_x, is_monospace, is_italic`` of the groups of one island.
 
-    A span below the one before it (or level with it) begins a group where the gap is a paragraph's or the font jumps;
-    one above it, where it is far above or the text so far ends a sentence.
+    A break depends on the largest font of the group so far: a fold, no window. A span below the one before it
+    (or level with it) begins a group where the gap is a paragraph's or the font jumps; one above it, where it is
+    far above or the text so far ends a sentence.
     """
-    number, start, last = 0, None, None
+    number, last = 0, None
     parts: list[str] = []
     font = least = 0.0
     mono = italic = False
 
     def closed() -> list[tuple]:
         text = "".join(parts).strip()
-        return [(start.doc_id, start.page, start.island, number, start.y, text, font, least, mono, italic)] if text else []
+        return [(number, text, font, least, mono, italic)] if text else []
 
     for s in spans:
-        start = start or s
         if last is not None:
-            so_far = "".join(parts).strip()
             rise = s.y - last.y
             if rise > 0:
-                breaks = rise > 1000 or so_far.endswith(SENTENCE_ENDS)
+                breaks = rise > 1000 or "".join(parts).rstrip().endswith(SENTENCE_ENDS)
             else:
-                breaks = -rise > s.threshold or (abs(s.font_size - font) > 4 and so_far != "")
+                breaks = -rise > threshold or (abs(s.font_size - font) > 4 and any(map(str.strip, parts)))
             if breaks:
                 yield from closed()
                 number, parts = number + 1, []
@@ -125,6 +131,14 @@ def _fold_page(spans: Iterable) -> Iterator[tuple]:
     yield from closed()
 
 
+def _fold_page(spans: Iterable) -> Iterator[tuple]:
+    """``GROUPS`` of one island of a page; all have its height."""
+    spans = iter(spans)
+    first = next(spans)
+    for number, text, *rest in _groups(chain([first], spans), first.threshold):
+        yield (first.doc_id, first.page, first.island, number, first.y, text, *rest)
+
+
 def group_spans(spans: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Text groups of every page, classified: ``GROUPS`` and ``meta``. An island of a page is the unit of work."""
     source = islands(spans).filter(~F.col("is_monospace"))
@@ -143,6 +157,100 @@ def simple_groups(spans: DataFrame, reach: float = 4.0) -> DataFrame:
     return marked.groupBy("doc_id", "page", "grp").agg(F.array_join(pieces, "").alias("text"))
 
 
+PLACED = "doc_id bigint, page int, place int, kind string, text string, font_size float, min_x float, is_monospace boolean, is_italic boolean, img_idx int, width double, height double, seg_idx int"
+
+
+class Element(NamedTuple):
+    """A text, code or image of a page; ``y`` is its height and ``seq`` its order among equal ones."""
+
+    doc_id: int | None
+    page: int | None
+    y: float | None
+    seq: int
+    kind: str
+    text: str | None = None
+    font_size: float | None = None
+    min_x: float | None = None
+    is_monospace: bool | None = None
+    is_italic: bool | None = None
+    img_idx: int | None = None
+    width: float | None = None
+    height: float | None = None
+    seg_idx: int | None = None
+
+
+def page_parts(spans: DataFrame, images: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """What :func:`elements_in_order` reads of documents: their thresholds, non-blank spans and images.
+
+    One row each, so that one shuffle by document takes all of them.
+    """
+    limits = (thresholds if thresholds is not None else paragraph_thresholds(spans)).select("doc_id", F.lit(0).alias("what"), F.col("threshold").cast("double").alias("threshold"))
+    top = F.when(~F.isnan("y"), F.col("y"))
+    texts = spans.filter(~is_blank(F.col("text"))).select("doc_id", "page", F.lit(1).alias("what"), top.alias("top"), F.col("span_idx").cast("long").alias("idx"), "y", "text", "x", "font_size", "is_monospace", "is_italic")
+    pictures = images.select("doc_id", "page", F.lit(2).alias("what"), F.col("img_idx").cast("long").alias("idx"), F.col("y").cast("float").alias("y"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
+    return texts.unionByName(limits, allowMissingColumns=True).unionByName(pictures, allowMissingColumns=True)
+
+
+def parts_order() -> list:
+    """A document's :func:`page_parts` in order: its threshold, then page after page the spans from top to bottom and the images."""
+    return [F.asc_nulls_first("page"), "what", F.desc_nulls_last("top"), "idx"]
+
+
+def _by_height(y: float | None, then: int) -> tuple:
+    """From top to bottom; missing heights last."""
+    return (2, 0.0, then) if y is None else (0, 0.0, then) if y != y else (1, -y, then)
+
+
+def _islands(spans: Iterable) -> Iterator[list]:
+    """Runs of spans of a page, cut at each change between code and text."""
+    island: list = []
+    for s in spans:
+        if island and None not in (island[-1].is_monospace, s.is_monospace) and island[-1].is_monospace != s.is_monospace:
+            yield island
+            island = []
+        island.append(s)
+    if island:
+        yield island
+
+
+def elements_in_order(parts: Iterable) -> Iterator[tuple[int, Element]]:
+    """Each page's elements of one document's :func:`page_parts` with their place; a page is held at a time."""
+    threshold, segment = None, 0
+    for page, rows in groupby(parts, key=lambda r: r.page):
+        lines, found = [], []
+        for r in rows:
+            if r.what == 0:
+                threshold = r.threshold
+            elif r.what == 1:
+                lines.append(r)
+            else:
+                found.append(Element(r.doc_id, page, r.y, (1 << 60) + r.idx, "image", img_idx=r.idx, width=r.width, height=r.height))
+        for k, island in enumerate(_islands(lines)):
+            code = [s for s in island if s.is_monospace]
+            if code:
+                found.append(Element(code[0].doc_id, page, code[0].y, k * 1000000, "code", "\n".join([s.text for s in code]), code[-1].font_size))
+            texts = [s for s in island if s.is_monospace is False]
+            if texts and threshold is not None:
+                for number, *rest in _groups(texts, threshold):
+                    found.append(Element(texts[0].doc_id, page, texts[0].y, k * 1000000 + number, "text", *rest, seg_idx=segment))
+                    segment += 1
+        found.sort(key=lambda e: _by_height(e.y, e.seq))
+        yield from enumerate(_captions_moved(found))
+
+
+def _captions_moved(found: list[Element]) -> list[Element]:
+    """Captions that stand before the nearest image in reach go behind it."""
+    images = [(k, e.y) for k, e in enumerate(found) if e.kind == "image" and e.y is not None]
+    keys = []
+    for k, e in enumerate(found):
+        target = k
+        if images and e.kind == "text" and e.y is not None and (e.text.startswith("图") or "Figure" in e.text):
+            far = [(abs(np.float32(y) - np.float32(e.y)), at) for at, y in images]
+            target = max(k, min((x for x in far if x[0] < CAPTION_REACH), default=(0, k))[1])
+        keys.append((target, target != k, k))
+    return [found[k] for _, _, k in sorted(keys)]
+
+
 def page_elements(spans: DataFrame, images: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Text, code and images of every page in reading order, captions after the image that they belong to.
 
@@ -151,23 +259,14 @@ def page_elements(spans: DataFrame, images: DataFrame, thresholds: DataFrame | N
     with the sign for figure or has the word) goes behind the nearest image within 100 points if it stands
     before it; of equally near images the earlier counts.
     """
-    texts = group_spans(spans, thresholds).select("doc_id", "page", F.col("start_y").alias("y"), (F.col("island") * 1000000 + F.col("group")).cast("long").alias("seq"), F.lit("text").alias("kind"), "text", "font_size", "meta")
-    texts = texts.withColumn("seg_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq")) - 1)
-    codes = code_blocks(spans).select("doc_id", "page", F.col("start_y").alias("y"), (F.col("island") * 1000000).cast("long").alias("seq"), F.lit("code").alias("kind"), "text", "font_size")
-    pictures = images.select("doc_id", "page", "y", (F.lit(1 << 60) + F.col("img_idx")).alias("seq"), F.lit("image").alias("kind"), "img_idx", "width", "height")
-    union = texts.unionByName(codes, allowMissingColumns=True).unionByName(pictures, allowMissingColumns=True)
-    placed = union.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc_nulls_last("y"), "seq")) - 1)
-    caption = (F.col("kind") == "text") & (trim(F.col("text")).startswith("图") | F.col("text").contains("Figure"))
-    # Images of a page travel with each of its captions only.
-    on_page = placed.filter("kind = 'image'").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("place"), F.col("y")))).alias("images"))
-    joined = let(placed.join(on_page, ["doc_id", "page"], "left"), "top", F.col("y"))
-    near = F.filter("images", lambda i: F.abs(i["y"] - F.col("top")) < CAPTION_REACH)
-    nearest = F.array_min(F.transform(near, lambda i: F.struct(F.abs(i["y"] - F.col("top")).alias("far"), i["place"].alias("place"))))["place"]
-    target = F.when(caption & (nearest > F.col("place")), nearest)
-    moved = joined.withColumn("target", target)
-    order = Window.partitionBy("doc_id", "page").orderBy(F.coalesce("target", "place"), F.col("target").isNotNull(), "place")
-    out = moved.withColumn("place", F.row_number().over(order) - 1)
-    return out.select("doc_id", "page", "place", "kind", "text", "font_size", "meta", "img_idx", "width", "height", "seg_idx")
+
+    def work(parts: Iterable) -> Iterator[tuple]:
+        for place, e in elements_in_order(parts):
+            yield (e.doc_id, e.page, place, *e[4:])
+
+    placed = fold(page_parts(spans, images, thresholds), ["doc_id"], parts_order(), PLACED, work)
+    meta = F.when(F.col("kind") == "text", classify(F.col("text"), F.col("font_size"), F.col("is_monospace"), F.col("min_x"), F.col("is_italic"))["meta"])
+    return placed.select("doc_id", "page", "place", "kind", "text", "font_size", meta.alias("meta"), "img_idx", "width", "height", "seg_idx")
 
 
 def synthetic_spans(docs: DataFrame) -> DataFrame:
